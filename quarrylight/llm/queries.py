@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrylight.llm import token_pack
+from quarrylight.llm import langid, substring, token_pack
 from quarrylight.llm.common import table
 
 
@@ -21,8 +22,25 @@ def op1_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.read_digests(shards)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Fold 2 of 4 by the checksum of the id's digits."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~held_out()))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_pack": op1_token_pack,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_language_id": op4_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
