@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import byte_bpe, langid, substring, token_pack
+from quarrylight.llm import byte_bpe, langid, line_dedup, mixing, oracles, substring, token_pack
 from quarrylight.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op1_token_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_pack.read_digests(shards)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
 
@@ -41,11 +46,21 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "selected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_pack": op1_token_pack,
+    "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": oracles.line_dedup(),
+    "op10_mixing": oracles.mixing(),
+}
