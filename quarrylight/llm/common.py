@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 400_000
 
 
+#: Rows in an Arrow batch: whole texts are long, and a batch stands in memory twice.
+ARROW_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data set. Lowers Spark's default of rows in an Arrow batch; a value that the user chose stays."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

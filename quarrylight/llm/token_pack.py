@@ -28,10 +28,10 @@ MAGIC = b"QLPACK01"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 8192
 #: Ids in a shard before the next one begins (a longer document has a shard of its own).
-SHARD_IDS = 4_000_000
+SHARD_IDS = 2_000_000
 #: Stored instead of a null doc_id.
 NO_ID = -(2**63)
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 
 def width(vocabulary: int) -> int:
@@ -93,32 +93,67 @@ class Shard:
 
 
 class WordEncoder:
-    """The tokenizers library behind a bounded cache. The tokenizer's pattern never joins what ASCII white space parts, so
-    each run between white space is encoded once, whole, and a document's ids are those of its runs in order."""
+    """The tokenizers library behind a bounded cache. The tokenizer lowers case and its pattern never joins what ASCII white
+    space parts, so each run between white space is encoded once, and a document's ids are those of its runs in order. Signs
+    at the end of a run, after an ASCII letter or digit, are matches of their own and are cached apart."""
+
+    SIGNS = b".,;:!?#$%&*|"
+    PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text the bytes of its ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             new = set().union(*split)
-        if new:
-            order = list(new)
-            for i in range(0, len(order), 20_000):
-                part = order[i : i + 20_000]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(found.ids, "<u4").tobytes()
+        self._learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
+    def _learn(self, new: set[bytes]) -> None:
+        known = self.known
+        ended: list[tuple[bytes, bytes, bytes]] = []
+        single: set[bytes] = set()
+        for word in new:
+            core = word.rstrip(self.SIGNS)
+            if core and len(core) < len(word) and core[-1] in self.PLAIN:
+                ended.append((word, core, word[len(core) :]))
+                single.update(ended[-1][1:])
+            else:
+                single.add(word)
+        single.difference_update(known)
+        letters, other = [], []
+        for word in single:
+            (letters if (text := word.decode()).isalpha() else other).append(text)
+        for i in range(0, len(letters), 20_000):
+            part = letters[i : i + 20_000]
+            groups = [part[j : j + 500] for j in range(0, len(part), 500)]
+            for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, "<u4")
+                ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+                if len(ends) != len(group):  # a letter whose lower case is several signs
+                    other += group
+                    continue
+                data = ids.tobytes()
+                known.update(zip((w.encode() for w in group), (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                known[word.encode()] = np.array(found.ids, "<u4").tobytes()
+        for word, core, signs in ended:
+            known[word] = known[core] + known[signs]
+
 
 def write_shards(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes every whole text, appends end_id, writes shards in ascending doc_id order; returns the table of shards:
