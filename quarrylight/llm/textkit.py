@@ -73,7 +73,11 @@ class Words:
 
 
 def words(texts: pa.Array) -> Words:
-    buf, off = raw(texts)
+    return words_of(*raw(texts))
+
+
+def words_of(buf: np.ndarray, off: np.ndarray) -> Words:
+    """Words of UTF-8 bytes; off: where each document begins, and the end."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return Words(buf, none, none, np.zeros(len(off), np.int64), np.zeros(0, np.uint64))
@@ -130,3 +134,16 @@ def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     for d in np.flatnonzero(~long & (n > 0)):
         out[first[d]] = runs(w.hash[w.first[d] : w.first[d + 1]], int(n[d]), seed=1 + int(n[d]))[0]
     return out, first
+
+
+def labelled(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes made different within each document: the second, third ... occurrence of a hash in a document gets a label."""
+    if not len(h):
+        return h
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, doc))
+    same = np.r_[False, (h[order][1:] == h[order][:-1]) & (doc[order][1:] == doc[order][:-1])]
+    place = np.arange(len(h))
+    count = np.zeros(len(h), np.uint64)
+    count[order] = place - np.maximum.accumulate(np.where(same, 0, place))
+    return mix(h + count * _GOLD)
