@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import byte_bpe, langid, line_dedup, mixing, oracles, substring, token_pack
+from quarrylight.llm import byte_bpe, embedding_dedup, fingerprint, langid, license_scan, line_dedup, mixing, oracles, order_minhash, substring, token_pack
 from quarrylight.llm.common import table
 
 
@@ -42,6 +42,26 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = license_scan.train(license_scan.sample(docs))
+    found = license_scan.scan(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.array_join(F.transform("licences", lambda x: x["family"]), ",").alias("families"), "n_units", "n_licence_units", F.round(F.array_max(F.transform("licences", lambda x: x["score"])), 4).alias("score"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"))
 
@@ -56,6 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_language_id": op4_language_id,
+    "op5_license_scan": op5_license_scan,
+    "op6_fingerprint": op6_fingerprint,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
 }
