@@ -16,10 +16,15 @@ BROADCAST_ROWS = 400_000
 ARROW_ROWS = 1_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set. Lowers Spark's default of rows in an Arrow batch; a value that the user chose stays."""
+def small_batches(spark: SparkSession) -> None:
+    """Lowers Spark's default of rows in an Arrow batch; a value that the user chose stays."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data set, to be read in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
