@@ -1,8 +1,9 @@
 """Classes of near duplicates from band keys: candidates, verification, components. Shared by the operators on documents.
 
 Exact copies are put aside by the hash of their texts, so a text is compared once however often it stands in the table. Two
-documents are candidates if they share a band key. Pairs within a key are not spelled out: each document is compared with the
-key's hub, the member of least seeded hash; what is alike is joined into components. Another round does so with other hubs.
+documents are candidates if they share a band key. Pairs within a key are not spelled out: each document is compared with
+one hub, the member of least seeded hash in some key; what is alike is joined into components. More rounds do so with other
+hubs.
 What is still in different components then is compared within each key by sketch, in blocks of bounded size, and only pairs
 whose sketches may reach the threshold are verified. Nothing is left out: hubs only save comparisons within a component.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from quarrylight.llm import textkit
 from quarrylight.llm.common import broadcast_if_small, components, written
 
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 #: Members of a key that one task compares with one another, on average.
 BLOCK = 256
 
@@ -82,10 +83,11 @@ def _long_enough(method: Method, m: str, n: str) -> Column:
 
 
 def _hub_pairs(members: DataFrame, method: Method, seed: int) -> DataFrame:
-    """(a, b): each member with the hub of each of its keys, if that is in another component. members: (k, id, n_words, root)."""
+    """(a, b): each member with one hub, that of least seeded hash among its keys' hubs in other components. members: (k, id,
+    n_words, root)."""
     rank = F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"), F.col("n_words").alias("hub_words"))
     hubs = members.groupBy("k").agg(F.min(rank).alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k", "least.hub", "least.hub_root", "least.hub_words")
-    return members.join(hubs, "k").where("root <> hub_root").where(_long_enough(method, "n_words", "hub_words")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    return members.join(hubs, "k").where("root <> hub_root").where(_long_enough(method, "n_words", "hub_words")).groupBy(F.col("id").alias("a")).agg(F.min(F.struct(F.xxhash64(F.lit(seed), "hub").alias("h"), F.col("hub").alias("hub"))).alias("least")).select("a", F.col("least.hub").alias("b"))
 
 
 def _block_pairs(members: DataFrame, sketches: DataFrame, method: Method) -> DataFrame:
