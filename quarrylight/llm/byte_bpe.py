@@ -98,6 +98,8 @@ def split_words(texts: list[str]) -> tuple[list[str], np.ndarray]:
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     starts = word_starts(points, off[:-1][np.diff(off) > 0])
     cut = starts.tolist()
+    if not cut:
+        return [], np.zeros(len(texts) + 1, np.int64)
     return [joined[a:b] for a, b in zip(cut, [*cut[1:], len(joined)], strict=True)], np.searchsorted(starts, off)
 
 

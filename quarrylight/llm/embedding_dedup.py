@@ -1,13 +1,15 @@
 """Near duplicates among embeddings by spherical-cap filters.
 
 A filter is a direction of a structured random product code: a vector is rotated, cut into BLOCKS parts, and each part is met
-with WORDS random code words; the WORDS ** BLOCKS concatenations of code words are the filters. A vector goes to every filter
-that its inner product exceeds by CAP standard deviations; these are list-decoded part by part, dropping prefixes that the
-best of the remaining parts can't lift over the bound. Vectors that share a filter are compared exactly, in double precision.
-
-At cosine 0.9 two vectors share about six filters on average, so few links are missed; a pair that shares several filters is
-counted in the least of them only. A filter with many vectors is dealt in blocks of bounded size, each pair of blocks a piece
-of work of its own; per vector it returns the count of links and one link towards its component, never the pairs.
+with WORDS random code words; the concatenations of code words are the filters, WORDS ** BLOCKS for each of CODES independent
+codes. A vector goes to every filter that its inner product exceeds by CAP standard deviations; these are list-decoded part by
+part, dropping prefixes that the best of the remaining parts can't lift over the bound. Vectors that share a filter are
+compared exactly, in double precision.
+
+Measured on random pairs at cosine 0.9 in 64 dimensions, 99 of 100 share a filter; nearer pairs more. A pair that shares
+several filters is counted in the least of them only. A filter with many vectors is dealt in blocks of bounded size, each pair
+of blocks a piece of work of its own; per vector it returns the count of links and one link towards its component, never the
+pairs.
 """
 
 from __future__ import annotations
@@ -22,17 +24,23 @@ from pyspark.sql import functions as F
 from quarrylight.llm.common import components, written
 from quarrylight.llm.similar import groups
 
-BLOCKS = 4
-WORDS = 12
+BLOCKS = 2
+WORDS = 64
+CODES = 6
 #: Height of the caps in standard deviations of the inner product of a random vector with a filter.
-CAP = 3.15
+CAP = 3.1
 COSINE = 0.9
 #: Vectors of a filter that one piece of work holds, on average.
 MEMBERS = 512
 
 
-def filters_of(unit: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(row, filter) for all filters of unit vectors (rows). A vector that exceeds none goes to its best one."""
+def filters_of(unit: np.ndarray, codes: int = CODES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) for all filters of unit vectors (rows). Where it exceeds no filter of a code, a vector goes to the best one."""
+    parts = [_decode(unit, k) for k in range(codes)]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([c + k * WORDS**BLOCKS for k, (_, c) in enumerate(parts)])
+
+
+def _decode(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     n, d = unit.shape
     rng = np.random.default_rng([seed, d])
     rotation = np.linalg.qr(rng.standard_normal((d, d)))[0]
@@ -136,7 +144,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     coded = written(work.select("id", "v", "dim").mapInArrow(_filters, "id long, filters array<int>"), "filters")
     flat = coded.select("id", "filters", F.explode("filters").alias("filter"))
     blocks = flat.groupBy("filter").agg(F.count("*").alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / MEMBERS).cast("int").alias("n_blocks"))
-    # at most a row for each filter of the code: WORDS ** BLOCKS
+    # at most a row for each filter: CODES * WORDS ** BLOCKS
     home = flat.join(F.broadcast(blocks), "filter").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("n_blocks")).cast("int"))
     spread = home.select("id", "filters", "filter", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
     spread = spread.select("id", "filters", "filter", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))

@@ -271,6 +271,10 @@ def decide(model: Model, w: textkit.Words, buf: bytes, a: np.ndarray, b: np.ndar
             kind[u] = best
         elif max(agreement(words, f) for f in TEMPLATES) >= 0.25 or any(agreement_words(words)):
             kind[u] = 1
+    # a window that holds a part of a notice that the next or the last window confirms says nothing of its own
+    overlap = np.r_[False, a[1:] < b[:-1]]
+    sure = kind > 1
+    kind[(kind == 1) & (np.r_[False, sure[:-1]] & overlap | np.r_[sure[1:], False] & np.r_[overlap[1:], False])] = 0
     return kind, licensed
 
 
