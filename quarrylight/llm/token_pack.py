@@ -10,6 +10,7 @@ ends of the documents in ids (u64); block offsets in bytes from the payload's st
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -28,10 +29,13 @@ MAGIC = b"QLPACK01"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 8192
 #: Ids in a shard before the next one begins (a longer document has a shard of its own).
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 #: Stored instead of a null doc_id.
 NO_ID = -(2**63)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Words that the tokenizer gets at once.
+BATCH_WORDS = 4_000
+_encoders: dict[str, WordEncoder] = {}
 
 
 def width(vocabulary: int) -> int:
@@ -101,6 +105,7 @@ class WordEncoder:
     PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores; threads would hold memory of their own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -136,8 +141,8 @@ class WordEncoder:
         letters, other = [], []
         for word in single:
             (letters if (text := word.decode()).isalpha() else other).append(text)
-        for i in range(0, len(letters), 20_000):
-            part = letters[i : i + 20_000]
+        for i in range(0, len(letters), BATCH_WORDS):
+            part = letters[i : i + BATCH_WORDS]
             groups = [part[j : j + 500] for j in range(0, len(part), 500)]
             for group, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
                 ids = np.array(found.ids, "<u4")
@@ -147,14 +152,21 @@ class WordEncoder:
                     continue
                 data = ids.tobytes()
                 known.update(zip((w.encode() for w in group), (data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        for i in range(0, len(other), 20_000):
-            part = other[i : i + 20_000]
+        for i in range(0, len(other), BATCH_WORDS):
+            part = other[i : i + BATCH_WORDS]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[word.encode()] = np.array(found.ids, "<u4").tobytes()
         for word, core, signs in ended:
             known[word] = known[core] + known[signs]
 
 
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each Python worker, however many tasks it runs."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_shards(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int, folder: str | None = None, doc_id: str = "doc_id", text: str = "text", shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes every whole text, appends end_id, writes shards in ascending doc_id order; returns the table of shards:
     path, place (order among the shards), n_docs, n_ids, start (ids in all shards before).
@@ -168,7 +180,7 @@ def write_shards(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int,
     bits = width(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         keys: list[np.ndarray] = []
