@@ -152,13 +152,15 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _band_keys(w: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
+def _band_keys(w: textkit.Words) -> np.ndarray:
     sig = signatures(w)
     bands = HASHES // ROWS
     keys = np.zeros((len(sig), bands), np.uint64)
     for j, c in enumerate(textkit.constants(ROWS, 13)):
         keys += sig[:, j : bands * ROWS : ROWS].astype(np.uint64) * c
-    return textkit.mix(keys), (sig & np.uint32(0xFFFF)).astype(np.uint16)
+    keys = textkit.mix(keys) | np.uint64(1)
+    keys[np.diff(w.first) == 0] = 0
+    return keys
 
 
 def _sets(w: textkit.Words) -> list[np.ndarray]:
@@ -172,5 +174,8 @@ def duplicate_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Classes are connected components of verified pairs and exact copies, named by their least doc_id. Nulls, repeated ids and
     empty texts: see `similar.classes`.
     """
-    method = similar.Method(keys=_band_keys, bands=HASHES // ROWS, forms=_sets, alike=lambda a, b: _jaccard(a, b) >= similarity, least_equal=int(HASHES * (similarity - 0.25)), least_length=0.0)
+    def near(both: np.ndarray, others: np.ndarray, one: int) -> np.ndarray:
+        return both >= similarity * (others + one - both) - 1e-9
+
+    method = similar.Method(keys=_band_keys, forms=_sets, alike=lambda a, b: _jaccard(a, b) >= similarity, near=near, least_length=0.0)
     return similar.classes(docs, method, doc_id, text)

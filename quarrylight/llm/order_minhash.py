@@ -1,9 +1,10 @@
 """Near duplicates by order MinHash.
 
-Each of SKETCHES seeded hashes picks the LENGTH least of a text's occurrence-labelled five-word k-mers and keeps them in text
+Each of SKETCHES seeded hashes picks the LENGTH least of a text's occurrence-labelled k-mers of K words and keeps them in text
 order, so a sketch agrees for two texts if they share these k-mers in the same order: the chance follows edit similarity, not
-only the sets. ROWS sketches make a band key. Candidates are verified by banded alignment of their words: edit similarity is
-1 - d / max(n1, n2) with d the least number of inserted, deleted and replaced words.
+only the sets. A sketch is a band key. Texts of few words lose most k-mers by few edits; they have as many more keys of
+SHORT_LENGTH k-mers. Candidates are verified by banded alignment of their words: edit similarity is 1 - d / max(n1, n2) with d
+the least number of inserted, deleted and replaced words.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ from pyspark.sql import DataFrame
 
 from quarrylight.llm import similar, textkit
 
-K = 5
-LENGTH = 2
-ROWS = 2
-BANDS = 32
-SKETCHES = ROWS * BANDS
+#: Words that an alignment's anchors have.
+ANCHOR = 5
+#: With edits at random places a pair at similarity 0.8 shares 0.47 of its k-mers, and so a sketch with the chance 0.47^3 = 0.104
+#: and one of the 64 with 0.999.
+K = 2
+LENGTH = 3
+SKETCHES = 64
+#: Texts of so many words or fewer have keys of both lengths: a pair with a longer text has 0.8 as many words each at least.
+SHORT_WORDS = 60
+SHORT_LENGTH = 2
 SIMILARITY = 0.8
-#: Equal sketches of a pair at the threshold. With k-mer sets that overlap by 0.4 it has 10 on average.
-LEAST_EQUAL = 4
 
 
-def sketches(w: textkit.Words) -> np.ndarray:
-    """uint64 for each text and sketch; 0 for texts without words. A text of one k-mer has that one alone."""
+def sketches(w: textkit.Words, length: int = LENGTH, seed: int = 21) -> np.ndarray:
+    """uint64 for each text and sketch; 0 for texts without words. A text of fewer k-mers has all of them in each sketch."""
     h, first = textkit.shingles(w, K)
     n = np.diff(first)
     out = np.zeros((len(n), SKETCHES), np.uint64)
@@ -34,19 +38,23 @@ def sketches(w: textkit.Words) -> np.ndarray:
         return out
     h = textkit.labelled(h, first)
     begin, size = first[:-1][full], n[full]
-    factor, shift = textkit.constants(SKETCHES, 21), textkit.constants(SKETCHES, 22)
+    factor, shift = textkit.constants(SKETCHES, seed), textkit.constants(SKETCHES, seed + 1)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
     value = np.empty_like(h)
-    odd, even = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-    several = size > 1
+    weight = textkit.constants(length, seed + 2)
     for j in range(SKETCHES):
         np.multiply(h, factor[j], out=value)
         value += shift[j]
-        one = _places(value, begin, size)
-        value[one] = top
-        two = _places(value, begin, size)
-        a, b = h[np.minimum(one, two)], h[np.maximum(one, two)]
-        out[full, j] = textkit.mix(np.where(several, a * odd + b * even, h[one]))
+        picked = np.empty((length, len(full)), np.int64)
+        for r in range(length):
+            picked[r] = _places(value, begin, size)
+            value[picked[r]] = top
+            picked[r, size <= r] = np.iinfo(np.int64).max  # all are picked: behind the others, and counted as none
+        picked.sort(0)
+        for r in range(length):
+            there = size > r
+            out[full[there], j] += h[picked[r, there]] * weight[r]
+    out[full] = textkit.mix(out[full]) | np.uint64(1)
     return out
 
 
@@ -56,12 +64,15 @@ def _places(value: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return at[np.searchsorted(at, begin)]
 
 
-def band_keys(w: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
-    s = sketches(w)
-    keys = np.zeros((len(s), BANDS), np.uint64)
-    for j, c in enumerate(textkit.constants(ROWS, 23)):
-        keys += s[:, j::ROWS] * c
-    return textkit.mix(keys), (s >> np.uint64(48)).astype(np.uint16)
+def band_keys(w: textkit.Words) -> np.ndarray:
+    n = np.diff(w.first)
+    keys = np.zeros((len(n), 2 * SKETCHES), np.uint64)
+    keys[:, :SKETCHES] = sketches(w)
+    short = n <= SHORT_WORDS
+    kept = np.repeat(short, n)
+    few = textkit.Words(w.buf, w.start[kept], w.end[kept], np.r_[0, np.cumsum(n[short])], w.hash[kept])
+    keys[short, SKETCHES:] = sketches(few, SHORT_LENGTH, 31)
+    return keys
 
 
 def forms(w: textkit.Words) -> list[np.ndarray]:
@@ -82,7 +93,7 @@ def _common_words(a: np.ndarray, b: np.ndarray) -> int:
 def _anchored(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """An alignment's cost, at least the true distance: k-mers that both have once, near the diagonal and in the same order, are
     laid on one another; between them each word more or other costs one."""
-    one, two = (textkit.runs(x.astype(np.uint64), K) for x in (a, b))
+    one, two = (textkit.runs(x.astype(np.uint64), ANCHOR) for x in (a, b))
     _, i, j = np.intersect1d(*(textkit.labelled(x, np.array([0, len(x)])) for x in (one, two)), return_indices=True)
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
@@ -91,7 +102,7 @@ def _anchored(a: np.ndarray, b: np.ndarray, band: int) -> int:
     ahead = np.r_[-1, np.maximum.accumulate(j)[:-1]] if len(j) else j
     i, j = i[j > ahead], j[j > ahead]
     # gaps before the first, between two, and behind the last; k-mers of one diagonal that overlap have none
-    x, y = np.diff(np.r_[-K, i, len(a)]) - K, np.diff(np.r_[-K, j, len(b)]) - K
+    x, y = np.diff(np.r_[-ANCHOR, i, len(a)]) - ANCHOR, np.diff(np.r_[-ANCHOR, j, len(b)]) - ANCHOR
     overlap = np.minimum(np.minimum(x, y), 0)
     return int(np.maximum(x - overlap, y - overlap).sum())
 
@@ -134,7 +145,7 @@ def edit_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) ->
     band = int((1 - least) * longest + 1e-9)
     if longest - _common_words(a, b) > band:
         return 0.0
-    cost = _anchored(a, b, band) if min(len(a), len(b)) >= K else longest
+    cost = _anchored(a, b, band) if min(len(a), len(b)) >= ANCHOR else longest
     if cost > band:
         cost = banded_distance(a, b, band)
     return 1 - cost / longest if cost <= band else 0.0
@@ -144,5 +155,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, class_id) of every row: classes are connected components of pairs with edit similarity of words of
     `similarity` or more and of exact copies, named by their least doc_id. Two texts are compared if a band of their sketches
     agrees. Nulls, repeated ids, empty texts: see `similar.classes`."""
-    method = similar.Method(keys=band_keys, bands=BANDS, forms=forms, alike=lambda a, b: edit_similarity(a, b, similarity) >= similarity, least_equal=LEAST_EQUAL, least_length=similarity)
+    def near(both: np.ndarray, others: np.ndarray, one: int) -> np.ndarray:
+        longest = np.maximum(others, one)
+        return longest - both <= np.floor((1 - similarity) * longest + 1e-9)
+
+    method = similar.Method(keys=band_keys, forms=forms, alike=lambda a, b: edit_similarity(a, b, similarity) >= similarity, near=near, least_length=similarity)
     return similar.classes(docs, method, doc_id, text)

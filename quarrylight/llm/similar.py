@@ -4,8 +4,9 @@ Exact copies are put aside by the hash of their texts, so a text is compared onc
 documents are candidates if they share a band key. Pairs within a key are not spelled out: each document is compared with
 one hub, the member of least seeded hash in some key; what is alike is joined into components. More rounds do so with other
 hubs.
-What is still in different components then is compared within each key by sketch, in blocks of bounded size, and only pairs
-whose sketches may reach the threshold are verified. Nothing is left out: hubs only save comparisons within a component.
+What is still in different components then is compared and verified within each key, in blocks of bounded size, so that only
+links leave a block. A pair is compared in the first key that it shares, and aligned if it has enough parts in common. Nothing
+is left out: hubs only save comparisons within a component.
 """
 
 from __future__ import annotations
@@ -23,16 +24,19 @@ from quarrylight.llm.common import broadcast_if_small, components, written
 
 HUB_ROUNDS = 3
 #: Members of a key that one task compares with one another, on average.
-BLOCK = 256
+BLOCK = 1024
+#: Words of them, on average.
+BLOCK_WORDS = 1_000_000
+#: Pairs of a document from which their common parts are counted by a table of the block.
+SEVERAL = 8
 
 
 @dataclass
 class Method:
-    keys: Callable[[textkit.Words], tuple[np.ndarray, np.ndarray]]  # band keys (uint64) and sketches (uint16) of each text
-    bands: int
+    keys: Callable[[textkit.Words], np.ndarray]  # band keys (uint64) of each text; 0: it has no key there, nor behind it
     forms: Callable[[textkit.Words], list[np.ndarray]]  # what verification compares (uint32) of each text
     alike: Callable[[np.ndarray, np.ndarray], bool]  # forms of two texts
-    least_equal: int  # equal sketch values that a pair above the threshold has at least, but for rare accidents
+    near: Callable[[np.ndarray, np.ndarray, int], np.ndarray]  # by parts in common, parts of others and of one: may be alike
     least_length: float  # the shorter text's words as a share of the longer one's, of a pair above the threshold
 
 
@@ -41,14 +45,10 @@ def _sketches(method: Method):
         for batch in batches:
             for piece in textkit.chunks(batch):
                 w = textkit.words(piece.column("text"))
-                keys, sketch = method.keys(w)
-                n = np.diff(w.first)
-                off = np.r_[0, np.cumsum(np.where(n > 0, method.bands, 0))].astype(np.int32)
-                data = np.ascontiguousarray(sketch).tobytes()
-                width = sketch.shape[1] * sketch.itemsize
-                blobs = [data[i : i + width] for i in range(0, len(data), width)]
-                columns = [*(piece.column(c) for c in ("doc_id", "t1", "t2")), pa.array(n), pa.ListArray.from_arrays(pa.array(off), pa.array(keys[n > 0].reshape(-1).view(np.int64))), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "n_words", "keys", "sketch"])
+                keys = method.keys(w)
+                off = np.r_[0, np.cumsum((keys > 0).sum(1))].astype(np.int32)
+                columns = [*(piece.column(c) for c in ("doc_id", "t1", "t2")), pa.array(np.diff(w.first)), pa.ListArray.from_arrays(pa.array(off), pa.array(keys[keys > 0].view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t1", "t2", "n_words", "keys"])
 
     return run
 
@@ -90,37 +90,59 @@ def _hub_pairs(members: DataFrame, method: Method, seed: int) -> DataFrame:
     return members.join(hubs, "k").where("root <> hub_root").where(_long_enough(method, "n_words", "hub_words")).groupBy(F.col("id").alias("a")).agg(F.min(F.struct(F.xxhash64(F.lit(seed), "hub").alias("h"), F.col("hub").alias("hub"))).alias("least")).select("a", F.col("least.hub").alias("b"))
 
 
-def _block_pairs(members: DataFrame, sketches: DataFrame, method: Method) -> DataFrame:
-    """(a, b): members of one key and different components whose sketches agree in least_equal values."""
-    sizes = members.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"))
+def _block_links(members: DataFrame, keys: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
+    """(a, b): links that join all alike members of one key and different components. members: (k, band, id, n_words, root)."""
+    sizes = members.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("n_blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k", "n_blocks")
     home = members.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("n_blocks")).cast("int"))
-    spread = home.select("k", "id", "n_words", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    spread = spread.select("k", "id", "n_words", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    dealt = spread.join(sketches, "id").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        ids, root, own, n = (rows.column(c).to_numpy() for c in ("id", "root", "own", "n_words"))
-        s = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(len(ids), -1)
-        across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in range(len(ids) - 1):
-            m, o = n[x + 1 :], root[x + 1 :] != root[x]
-            o &= np.minimum(m, n[x]) >= np.maximum(m, n[x]) * method.least_length - 1e-9
-            if across:
-                o &= own[x + 1 :] != own[x]
-            y = x + 1 + np.flatnonzero(o)
-            y = y[(s[y] == s[x]).sum(1) >= method.least_equal]
-            a.append(np.full(len(y), ids[x]))
-            b.append(ids[y])
-        one, two = np.concatenate(a), np.concatenate(b)
-        return pa.record_batch([np.minimum(one, two), np.maximum(one, two)], names=["a", "b"])
+    spread = home.select("k", "band", "id", "n_words", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    spread = spread.select("k", "band", "id", "n_words", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    dealt = spread.join(keys, "id").join(forms, "id").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches, ("k", "i", "j")):
             if len(rows) > 1:
-                yield compare(rows)
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+                found = _links(rows, method)
+                if found:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _links(rows: pa.Table, method: Method) -> list[tuple[int, int]]:
+    ids, root, own, n, band = (rows.column(c).to_numpy().copy() for c in ("id", "root", "own", "n_words", "band"))
+    across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    forms = [np.frombuffer(x.as_buffer(), np.uint32) for c in rows.column("form").chunks for x in c]
+    earlier = np.zeros((len(ids), int(band[0])), np.int64)  # keys of the bands before this one
+    for x, k in enumerate(k for c in rows.column("keys").chunks for k in c):
+        k = k.values.to_numpy()[: band[0]]
+        earlier[x, : len(k)] = k
+    size = np.array([len(x) for x in forms])
+    parts = None
+    found = []
+    for x in range(len(ids) - 1):
+        m = n[x + 1 :]
+        o = root[x + 1 :] != root[x]
+        o &= np.minimum(m, n[x]) >= np.maximum(m, n[x]) * method.least_length - 1e-9
+        if across:
+            o &= own[x + 1 :] != own[x]
+        y = x + 1 + np.flatnonzero(o)
+        for c in range(0, earlier.shape[1], 8):
+            y = y[~(earlier[y, c : c + 8] == earlier[x, c : c + 8]).any(1)]
+        if len(y) >= SEVERAL:
+            if parts is None:
+                first = np.r_[0, np.cumsum(size)]
+                _, place = np.unique(textkit.labelled(np.concatenate(forms).astype(np.uint64), first), return_inverse=True)
+                parts = np.split(place, first[1:-1])
+                mine = np.zeros(len(place), bool)
+            mine[parts[x]] = True
+            both = np.add.reduceat(mine[np.concatenate([parts[k] for k in y])], np.r_[0, np.cumsum(size[y])[:-1]], dtype=np.int64)
+            mine[parts[x]] = False
+            y = y[method.near(both, size[y], size[x])]
+        for k in y.tolist():
+            if root[k] != root[x] and method.alike(forms[x], forms[k]):
+                found.append((int(ids[x]), int(ids[k])))
+                root[root == root[k]] = root[x]
+    return found
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -156,13 +178,13 @@ def classes(docs: DataFrame, method: Method, doc_id: str = "doc_id", text: str =
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = plain.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"))
-    rows = written(keyed.mapInArrow(_sketches(method), "doc_id long, t1 long, t2 int, n_words long, keys array<bigint>, sketch binary"), "sketches")
+    rows = written(keyed.mapInArrow(_sketches(method), "doc_id long, t1 long, t2 int, n_words long, keys array<bigint>"), "sketches")
     copies = written(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")), "copies")
     named = rows.select("doc_id", "t1", "t2").join(copies, ["t1", "t2"]).select("doc_id", "rep")
     reps = rows.join(copies.withColumnRenamed("rep", "doc_id"), ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"])
-    every = reps.select(F.col("doc_id").alias("id"), "n_words", F.posexplode("keys").alias("band", "key")).select("id", "n_words", F.xxhash64("band", "key").alias("k"))
+    every = reps.select(F.col("doc_id").alias("id"), "n_words", F.posexplode("keys").alias("band", "key")).select("id", "n_words", "band", F.xxhash64("band", "key").alias("k"))
     shared = every.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    members = written(every.join(shared, "k").select("k", "id", "n_words"), "members")
+    members = written(every.join(shared, "k").select("k", "band", "id", "n_words"), "members")
     candidates = written(members.select("id").distinct(), "candidates")
     forms = keyed.select("doc_id", "text").join(broadcast_if_small(candidates).withColumnRenamed("id", "doc_id"), "doc_id")
     forms = written(forms.mapInArrow(_forms(method), "id long, form binary"), "forms")
@@ -170,12 +192,12 @@ def classes(docs: DataFrame, method: Method, doc_id: str = "doc_id", text: str =
     verified = None
     roots = candidates.select("id", F.col("id").alias("root"))
     for step in range(HUB_ROUNDS + 1):
-        rooted = members.join(roots, "id", "left").select("k", "id", "n_words", F.coalesce("root", "id").alias("root"))
+        rooted = members.join(roots, "id", "left").select("k", "band", "id", "n_words", F.coalesce("root", "id").alias("root"))
         if step < HUB_ROUNDS:
-            pairs = _hub_pairs(rooted, method, step)
+            new = _verified(_hub_pairs(rooted, method, step), forms, method)
         else:
-            pairs = _block_pairs(rooted, reps.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "sketch"), method)
-        new = _verified(pairs, forms, method)
+            keys = reps.select(F.col("doc_id").alias("id"), "keys").join(candidates, "id", "left_semi")
+            new = written(_block_links(rooted, keys, forms, method), "links")
         verified = new if verified is None else verified.union(new)
         if step < HUB_ROUNDS:
             roots = written(components(verified, "a", "b").toDF("id", "root"), "roots")

@@ -269,6 +269,33 @@ def test_op7_one_large_group_and_a_shared_passage(spark):
     assert got.class_id.tolist() == [0] * 700 + list(range(700, 900))
 
 
+def _edited_pairs(seed, n=100):
+    """(similarity, words, text, edited text): as many words replaced, at random places, as the similarity allows."""
+    rng = np.random.default_rng(seed)
+    for similarity in (0.8, 0.85, 0.9):
+        for words in (10, 30, 61, 120, 400):
+            for _ in range(n):
+                a = rng.integers(0, 50_000, words)
+                b = a.copy()
+                at = rng.choice(words, int((1 - similarity) * words + 1e-9), replace=False)
+                b[at] = rng.integers(50_000, 100_000, len(at))
+                yield similarity, words, a.tolist(), b.tolist()
+
+
+def test_op7_recall_pair_by_pair(spark):
+    pairs = list(_edited_pairs(17))
+    near = [_distance(a, b) <= 0.2 * n + 1e-9 for _, n, a, b in pairs]
+    texts = [" ".join(map(str, t)) for _, _, a, b in pairs for t in (a, b)]
+    got = by_id(order_minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).class_id.tolist()
+    found = defaultdict(list)
+    for i, (similarity, words, _, _) in enumerate(pairs):
+        assert got[2 * i] == 2 * i and got[2 * i + 1] in (2 * i, 2 * i + 1)
+        found[similarity, words].append(got[2 * i + 1] == 2 * i)
+    recall = {k: sum(v) / len(v) for k, v in found.items()}
+    print(recall)
+    assert all(near) and min(recall.values()) >= 0.97, recall
+
+
 def test_op8_recall_and_counts(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "MEMBERS", 40)
     rng = np.random.default_rng(4)
