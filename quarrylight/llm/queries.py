@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import byte_bpe, embedding_dedup, fingerprint, langid, license_scan, line_dedup, mixing, oracles, order_minhash, substring, token_pack
-from quarrylight.llm.common import table
+from quarrylight.llm.common import broadcast_if_small, table, written
 
 
 def tokenizer_file(name: str) -> str:
@@ -50,7 +50,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    moved = written(fingerprint.duplicate_classes(docs).where("doc_id <> class_id").distinct(), "moved")
+    found = fingerprint.fingerprints(docs).join(broadcast_if_small(moved), "doc_id", "left")
+    return found.withColumn("class_id", F.coalesce("class_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

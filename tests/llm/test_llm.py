@@ -225,6 +225,20 @@ def test_op6_classes(spark):
     assert len(pairs) > 30 and got.class_id.tolist() == groups_of(len(texts), pairs)
 
 
+def test_op6_query_gives_classes(spark, sf_dir, docs):
+    got = by_id(q.op6_fingerprint(spark, sf_dir))
+    s = [_shingles(t) for t in docs.text.fillna("")]
+    at = defaultdict(list)
+    for i, x in enumerate(s):
+        for g in x:
+            at[g].append(i)
+    shared = Counter((b, a) for m in at.values() for j, a in enumerate(m) for b in m[:j])
+    pairs = [(a, b) for (a, b), n in shared.items() if n >= 0.8 * len(s[a] | s[b])]
+    pairs += [(a, b) for m in docs.groupby("text").indices.values() for a, b in zip(m, m[1:], strict=False)]
+    assert len(pairs) > 10 and got.class_id.tolist() == docs.doc_id.iloc[groups_of(len(s), pairs)].tolist()
+    assert (got.kept == (got.doc_id == got.class_id)).all() and not got.kept.all()
+
+
 def _distance(a, b):
     row = np.arange(len(b) + 1)
     for i, x in enumerate(a, 1):
