@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it has at most so many rows (of a few dozen bytes each).
-BROADCAST_ROWS = 400_000
+#: A side is broadcast only if its values take so many bytes at most.
+BROADCAST_BYTES = 16 << 20
 
 
 #: Rows in an Arrow batch: whole texts are long, and a batch stands in memory twice.
@@ -29,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Set here only where the session names none (tests)."""
+    """The folder that driver and executors share. Set here only where the session names none and has no executors on other
+    machines (tests); on a cluster the setting is required."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-quarrylight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,12 +50,34 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a count; above the bound Spark shuffles both sides. df should be a written table."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _bytes_of(c: Column, kind: T.DataType) -> Column:
+    """About what a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 24
+    if isinstance(kind, T.ArrayType):
+        each = sum(8 for _ in kind.elementType.fields) + 16 if isinstance(kind.elementType, T.StructType) else 8
+        return F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)) * each + 24
+    return F.lit(16)
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A broadcast hint if the values of df, in all rows, take `limit` bytes at most; above it Spark shuffles both sides. df
+    should be a written table of scalars, strings and arrays of scalars or of structs of scalars."""
+    each = [_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    total = df.agg(F.sum(sum(each[1:], each[0]).cast("long")).alias("total")).first()["total"] or 0
+    return F.broadcast(df) if total <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -65,20 +91,26 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).where("a is not null and b is not null and a <> b").distinct(),
         "edges",
     )
-    mark = _mark(e)
-    while mark[0]:
+    while not _only_stars(e):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         nxt = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = written(nxt.union(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = _mark(e)
-        if now == mark:
-            break
-        mark = now
+        before, e = e, written(nxt.union(small.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        discard(before)
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", F.col("b").alias("root")).distinct())
 
 
-def _mark(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _only_stars(e: DataFrame) -> bool:
+    """Whether each node of edges (a, b) is either the centre b of its edges or the end a of one."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").head(1)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, whatever its case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -3,10 +3,13 @@
 Seeds: from each run of `window` words the anchor is its SEED-word run with the least hash (the rightmost of equals), so two
 documents that share a run share its anchor. Join: anchors are brought together by hash. Extension: an anchor is widened
 both ways over all runs that chose it; where the widened passages are equal, the later document's is a repeat as a whole, else
-each run of `window` words around the anchor is compared. The union of what is found is the document's maximal repeats.
+the match is widened word by word: each run of `window` words around the anchor is compared with the runs of the others. The
+union of what is found is the document's maximal repeats.
 
-No pairs are made: for each passage only the least doc_id that has it counts. Each task keeps one occurrence of a passage, the
-least, before anything is shuffled, so a passage that a third of all documents have is a row for each task.
+No pairs are made: for each passage only the least doc_id that has it counts. A task keeps one occurrence of a passage, the
+least, in each BUFFER of anchors before anything is shuffled; an anchor that has several passages there is known to need the
+word by word comparison, and only two of its rows go to the others of its hash. So neither a passage nor an anchor that a third
+of all documents have makes a large group.
 """
 
 from __future__ import annotations
@@ -20,12 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textkit
-from quarrylight.llm.common import broadcast_if_small, written
+from quarrylight.llm.common import broadcast_if_small, discard, written
 
 WINDOW = 13
 SEED = 4
-#: Documents whose repeats reach the other side of a join by broadcast; above it both sides are shuffled.
-BROADCAST_DOCS = 300_000
+#: Rows that a task brings together before it passes them on.
+BUFFER = 1_000_000
+#: What a row of _reduced says: its passage is to be compared; it is a repeat; it is to be compared word by word; it only shows
+#: that its anchor has several passages.
+PLAIN, REPEAT, UNSURE, MARK = range(4)
 
 
 class _Runs:
@@ -85,86 +91,109 @@ def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[first], a[first], np.maximum.reduceat(b, first)
 
 
-def _least_only(h1, h2, doc, a, b) -> Iterator[pa.RecordBatch]:
-    """Rows of the least document of each (h1, h2); the others' intervals are repeats: merged, with null for h2 and any number
-    for h1."""
+def _reduced(h1, h2, doc, a, b, anchors: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of the least document of each (h1, h2); the others' intervals are merged, as REPEAT. With `anchors` rows whose h1 has
+    several h2 are UNSURE, and two MARKs stand for them. REPEAT and UNSURE rows have any number for h1, for even shuffles."""
     order = np.lexsort((doc, h2, h1))
     h1, h2, doc, a, b = h1[order], h2[order], doc[order], a[order], b[order]
-    head = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+    first = np.r_[True, h1[1:] != h1[:-1]]
+    head = first | np.r_[True, h2[1:] != h2[:-1]]
     later = doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-    names = ["h1", "h2", "doc_id", "a", "b"]
-    keep = np.flatnonzero(~later)
-    for i in range(0, len(keep), 200_000):
-        k = keep[i : i + 200_000]
-        yield pa.record_batch([h1[k], h2[k], doc[k], a[k].astype(np.int32), b[k].astype(np.int32)], names=names)
-    d, x, y = _merge(doc[later], a[later], b[later])
-    for i in range(0, len(d), 200_000):
+    kind = np.where(later, REPEAT, PLAIN).astype(np.int8)
+    mark = np.zeros(0, np.int64)
+    if anchors:
+        begin = np.flatnonzero(first)
+        several = np.add.reduceat(head.astype(np.int64), begin) > 1
+        kind[np.repeat(several, np.diff(np.r_[begin, len(h1)])) & ~later] = UNSURE
+        mark = np.r_[begin[several], np.r_[begin[1:], len(h1)][several] - 1]
+    for some, what in ((kind == PLAIN, PLAIN), (kind == UNSURE, UNSURE), (kind == REPEAT, REPEAT)):
+        d, x, y = doc[some], a[some], b[some]
+        if what != PLAIN:
+            d, x, y = _merge(d, x, y) if what == REPEAT else (d, x, y)
+            k1, k2 = textkit.mix(d.astype(np.uint64) * np.uint64(31) + x.astype(np.uint64)).view(np.int64), None
+        else:
+            k1, k2 = h1[some], h2[some]
+        yield from _rows(k1, k2, d, x, y, what)
+    yield from _rows(h1[mark], h2[mark], doc[mark], a[mark], b[mark], MARK)
+
+
+def _rows(h1, h2, doc, a, b, what: int) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(doc), 200_000):
         k = slice(i, i + 200_000)
-        some = textkit.mix(d[k].astype(np.uint64) * np.uint64(31) + x[k].astype(np.uint64)).view(np.int64)
-        yield pa.record_batch([some, pa.nulls(len(some), pa.int64()), d[k], x[k].astype(np.int32), y[k].astype(np.int32)], names=names)
+        n = len(doc[k])
+        second = pa.nulls(n, pa.int64()) if h2 is None else pa.array(h2[k])
+        yield pa.record_batch([pa.array(h1[k]), second, pa.array(doc[k]), pa.array(a[k].astype(np.int32)), pa.array(b[k].astype(np.int32)), pa.array(np.full(n, what, np.int8))], names=["h1", "h2", "doc_id", "a", "b", "kind"])
 
 
-def _occurrences(window: int):
-    """Rows of _least_only: anchor hash, passage hash, document, word interval."""
+def _buffered(anchors: bool, rows_of):
+    """rows_of(piece): (h1, h2, doc_id, a, b) of a piece of a batch. Reduces BUFFER of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
+        parts, held = [], 0
         for batch in batches:
             for piece in textkit.chunks(batch):
-                w = textkit.words(piece.column("text"))
-                r = _Runs(w, window)
-                at, s, e = r.spans()
-                if not len(at):
-                    continue
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-                doc = r.doc[at]
-                base = w.first[:-1][doc]
-                parts.append((r.seed[at].view(np.int64), _passage_hash(w, s, e + window, at).view(np.int64), ids[doc], s - base, e + window - base))
-        if not parts:
-            return
-        yield from _least_only(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                parts.append(rows_of(piece))
+                held += len(parts[-1][0])
+                if held >= BUFFER:
+                    yield from _reduced(*(np.concatenate(x) for x in zip(*parts, strict=True)), anchors)
+                    parts, held = [], 0
+        if held:
+            yield from _reduced(*(np.concatenate(x) for x in zip(*parts, strict=True)), anchors)
 
     return run
 
 
+def _occurrences(window: int):
+    """Of each anchor: its hash, the passage's hash, document, word interval."""
+
+    def rows_of(piece: pa.RecordBatch):
+        w = textkit.words(piece.column("text"))
+        r = _Runs(w, window)
+        at, s, e = r.spans()
+        doc = r.doc[at]
+        base = w.first[:-1][doc]
+        return r.seed[at].view(np.int64), _passage_hash(w, s, e + window, at).view(np.int64), piece.column("doc_id").to_numpy()[doc], s - base, e + window - base
+
+    return rows_of
+
+
 def _windows(window: int):
-    """Rows of _least_only for the windows in `spans`: two hashes of the window, document, word interval."""
+    """Of each window in `spans`: two hashes, document, word interval."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        for batch in batches:
-            for piece in textkit.chunks(batch):
-                w = textkit.words(piece.column("text"))
-                one, two = textkit.runs(w.hash, window, 5), textkit.runs(w.hash, window, 6)
-                spans = piece.column("spans")
-                n = spans.value_lengths().to_numpy(zero_copy_only=False)
-                flat = spans.flatten()
-                a = flat.field("a").to_numpy().astype(np.int64)
-                count = flat.field("b").to_numpy().astype(np.int64) - a - window + 1
-                doc = np.repeat(np.repeat(np.arange(piece.num_rows), n), count)
-                start = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
-                at = w.first[:-1][doc] + start
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-                parts.append((one[at].view(np.int64), two[at].view(np.int64), ids[doc], start, start + window))
-        if parts:
-            yield from _least_only(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    def rows_of(piece: pa.RecordBatch):
+        w = textkit.words(piece.column("text"))
+        one, two = textkit.runs(w.hash, window, 5), textkit.runs(w.hash, window, 6)
+        spans = piece.column("spans")
+        n = spans.value_lengths().to_numpy(zero_copy_only=False)
+        flat = spans.flatten()
+        a = flat.field("a").to_numpy().astype(np.int64)
+        count = flat.field("b").to_numpy().astype(np.int64) - a - window + 1
+        doc = np.repeat(np.repeat(np.arange(piece.num_rows), n), count)
+        start = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+        at = w.first[:-1][doc] + start
+        return one[at].view(np.int64), two[at].view(np.int64), piece.column("doc_id").to_numpy()[doc], start, start + window
 
-    return run
+    return rows_of
+
+
+ROW = "h1 long, h2 long, doc_id long, a int, b int, kind byte"
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, spans): for each document with repeats, word intervals [a, b) whose every window starts in an earlier
     document too. docs: unique non-null doc_id (long), text without nulls. The intervals may overlap."""
-    found = docs.mapInArrow(_occurrences(window), "h1 long, h2 long, doc_id long, a int, b int")
+    found = docs.mapInArrow(_buffered(True, _occurrences(window)), ROW)
     anchor, passage = Window.partitionBy("h1"), Window.partitionBy("h1", "h2")
     seen = found.withColumn("least", F.min("doc_id").over(passage)).withColumn("low", F.min("h2").over(anchor)).withColumn("high", F.max("h2").over(anchor))
-    seen = seen.withColumn("repeat", F.col("h2").isNull() | (F.col("doc_id") > F.col("least"))).where("repeat or low < high")
+    again = (F.col("kind") == REPEAT) | ((F.col("kind") == PLAIN) & (F.col("doc_id") > F.col("least")))
+    seen = seen.where(f"kind <> {MARK}").withColumn("repeat", again).where(f"repeat or kind = {UNSURE} or low < high")
     seen = written(seen.select("doc_id", "a", "b", "repeat"), "passages")
     unsure = written(seen.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "unsure")
-    near = docs.join(broadcast_if_small(unsure, BROADCAST_DOCS), "doc_id").mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, a int, b int")
-    same = Window.partitionBy("h1", "h2")
-    more = near.withColumn("least", F.min("doc_id").over(same)).where("h2 is null or doc_id > least").select("doc_id", "a", "b")
-    return seen.where("repeat").select("doc_id", "a", "b").union(more).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    near = docs.join(broadcast_if_small(unsure), "doc_id").mapInArrow(_buffered(False, _windows(window)), ROW)
+    more = near.withColumn("least", F.min("doc_id").over(passage)).where(f"kind = {REPEAT} or doc_id > least").select("doc_id", "a", "b")
+    out = written(seen.where("repeat").select("doc_id", "a", "b").union(more).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
+    discard(seen, unsure)
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -175,7 +204,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     rows: no rows. Other columns are ignored, whatever their names.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    spans = written(repeats(plain.where("doc_id is not null"), window), "repeats")
+    spans = repeats(plain.where("doc_id is not null"), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,5 +224,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                 columns = [piece.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)]
                 yield pa.record_batch(columns + [pa.array(kept_texts, pa.string())] * keep_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text])
 
-    joined = plain.join(broadcast_if_small(spans, BROADCAST_DOCS), "doc_id", "left")
+    joined = plain.join(broadcast_if_small(spans), "doc_id", "left")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
