@@ -3,8 +3,8 @@
 Words are split off by the tokenizer's pattern (vectorised over code points). The merges are a fold of Spark's higher-order
 functions over the byte pieces of distinct words: each step joins the leftmost pair of least rank, found in a literal map of
 ranks, until no pair has a rank. The COMMON commonest words of the corpus are folded once and their ids sent to all tasks (a
-bounded table, which changes no result); every other word is folded in the row of its document, once for each document.
-Decoding concatenates the binary pieces of the ids.
+bounded table, which changes no result); every other word is folded once for each run of documents with CHUNK_BYTES of text,
+where it stands, so that nothing is shuffled. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -25,12 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textkit
-from quarrylight.llm.common import written
+from quarrylight.llm.common import discard, written
 
 #: Words whose ids are kept in a table that every task holds.
 COMMON = 200_000
+#: Text of the documents that share a list of distinct words; a longer document has a list of its own.
+CHUNK_BYTES = 8 << 20
+#: Words that are put together at once.
+STEP_WORDS = 400_000
 #: Longer words (bytes) are merged with a heap: the fold's work grows with the square of a word's length.
-LONG_WORD = 400
+LONG_WORD = 2_000
 BUCKETS = 16_384
 _NONE = 2**31 - 1
 #: Unicode white space. Fixed values.
@@ -107,17 +111,21 @@ def _texts(piece: pa.RecordBatch) -> list[str]:
     return [t or "" for t in piece.column("text").to_pylist()]
 
 
-def bpe_ids(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The fold: ids of a word (string), as an array of int."""
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal: maps of hexadecimal pieces to ranks, in BUCKETS by the checksum of the piece."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         buckets[zlib.crc32(piece) % BUCKETS][piece.hex().upper()] = rank
-    literal = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+
+def bpe_ids(words: Column, literal: Column) -> Column:
+    """The fold: ids of each word of an array of strings, as an array of arrays of int; null for words over LONG_WORD bytes."""
 
     def let(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
-    def fold(table: Column) -> Column:
+    def fold(table: Column, word: Column) -> Column:
         def rank(x: Column) -> Column:
             return F.coalesce(F.element_at(F.element_at(table, (F.crc32(x) % BUCKETS + 1).cast("int")), F.hex(x)), F.lit(_NONE))
 
@@ -153,7 +161,7 @@ def bpe_ids(word: Column, ranks: dict[bytes, int]) -> Column:
         folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), let(one, begin), step)
         return F.when(whole < _NONE, F.array(whole)).otherwise(F.transform(folded["p"], rank))
 
-    return let(literal, fold)
+    return let(literal, lambda table: F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG_WORD, fold(table, w))))
 
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -199,7 +207,7 @@ def common_words(texts: DataFrame, limit: int = COMMON) -> DataFrame:
                 seen.update(split_words(_texts(piece))[0])
                 if len(seen) > 1_000_000:
                     seen = Counter({w: c for w, c in seen.items() if c > 1})
-        often = [(w, c) for w, c in seen.items() if c > 1 and len(w) <= LONG_WORD]
+        often = [(w, c) for w, c in seen.items() if c > 1 and len(w.encode()) <= LONG_WORD]
         for i in range(0, len(often), 100_000):
             part = often[i : i + 100_000]
             yield pa.record_batch([pa.array([w for w, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["word", "n"])
@@ -215,8 +223,11 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
     """
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
+    literal = rank_map(ranks)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = written(common_words(plain.select("text"), common), "words").select("word", bpe_ids(F.col("word"), ranks).alias("ids")).toArrow()
+    found = written(common_words(plain.select("text"), common), "words")
+    table = found.repartition(spark.sparkContext.defaultParallelism).select("word", F.element_at(bpe_ids(F.array("word"), literal), 1).alias("ids")).toArrow()
+    discard(found)
     names = table.column("word").to_pylist()
     ids = table.column("ids").combine_chunks()
     pieces = [b""] * (max(ranks.values()) + 1)
@@ -228,55 +239,63 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = known.value.get
+        doc_ids, n_words, codes, own, held = [], [], [], {}, 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32())), pa.array([b"".join(codes)], pa.binary()), pa.array([list(own)], pa.list_(pa.string()))], names=["doc_ids", "n_words", "codes", "rare"])
+
         for batch in batches:
             for piece in textkit.chunks(batch):
                 words, first = split_words(_texts(piece))
                 code = np.fromiter(map(find, words, repeat(-1)), np.int32, len(words))
-                rare_at = np.flatnonzero(code < 0)
-                bound = np.searchsorted(rare_at, first).tolist()
-                rare_words = []
-                for a, b in zip(bound[:-1], bound[1:], strict=True):
-                    own: dict[str, int] = {}
-                    for i in rare_at[a:b].tolist():
-                        code[i] = -1 - own.setdefault(words[i], len(own))
-                    rare_words.append(list(own))
-                data = code.astype("<i4").tobytes()
-                cut = (4 * first).tolist()
-                yield pa.record_batch([piece.column("doc_id"), pa.array([data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array(rare_words, pa.list_(pa.string()))], names=["doc_id", "codes", "rare"])
+                for i in np.flatnonzero(code < 0).tolist():
+                    code[i] = -1 - own.setdefault(words[i], len(own))
+                doc_ids += piece.column("doc_id").to_pylist()
+                n_words += np.diff(first).tolist()
+                codes.append(code.astype("<i4").tobytes())
+                held += sum(map(len, words))
+                if held >= CHUNK_BYTES:
+                    yield chunk()
+                    doc_ids, n_words, codes, own, held = [], [], [], {}, 0
+        if doc_ids:
+            yield chunk()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common_ids, common_off), (letters, letter_off) = sent.value
         letter_len = np.diff(letter_off)
         for batch in batches:
-            for piece in textkit.chunks(batch, "codes", 4 << 20):
-                rare = piece.column("rare_ids")
-                rare_first = np.r_[0, np.cumsum(rare.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-                rare_ids, rare_off = _long_words(rare.flatten(), piece.column("rare").flatten(), long_ranks)
-                blobs = piece.column("codes").to_pylist()
-                n = np.array([len(b) // 4 for b in blobs])
-                code = np.frombuffer(b"".join(blobs), "<i4").astype(np.int64)
-                doc = np.repeat(np.arange(len(n)), n)
-                row = np.where(code >= 0, code, len(common_off) - 1 + rare_first[doc] - 1 - code)
+            for k in range(batch.num_rows):
+                doc_ids, n_words, rare, rare_ids = (batch.column(c)[k].values for c in ("doc_ids", "n_words", "rare", "rare_ids"))
+                rare_ids, rare_off = _long_words(rare_ids, rare, long_ranks)
+                code = np.frombuffer(batch.column("codes")[k].as_buffer(), "<i4").astype(np.int64)
                 begin = np.r_[common_off[:-1], rare_off[:-1] + len(common_ids)]
                 size = np.r_[np.diff(common_off), np.diff(rare_off)]
-                ids = np.r_[common_ids, rare_ids][_ranges(begin[row], size[row])]
-                ends = np.r_[0, np.cumsum(size[row])][np.r_[0, np.cumsum(n)]]
-                text_ends = np.r_[0, np.cumsum(letter_len[ids])][ends]
-                data, decoded = memoryview(ids.astype("<u4").tobytes()), memoryview(letters[_ranges(letter_off[:-1][ids], letter_len[ids])].tobytes())
-                columns = [
-                    piece.column("doc_id"),
-                    pa.array(np.diff(ends)),
-                    pa.array([hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]),
-                    pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(text_ends[:-1].tolist(), text_ends[1:].tolist(), strict=True)]),
-                ]
-                if keep_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
-
-    coded = plain.mapInArrow(look_up, "doc_id long, codes binary, rare array<string>")
-    short = lambda w: F.when(F.octet_length(w) <= LONG_WORD, bpe_word(w))
-    bpe_word = lambda w: bpe_ids(w, ranks)
-    folded = coded.select("doc_id", "codes", "rare", F.transform("rare", short).alias("rare_ids"))
+                every = np.r_[common_ids, rare_ids]
+                word_ends = np.cumsum(n_words.to_numpy().astype(np.int64))
+                part = np.r_[-1, (word_ends - 1) // STEP_WORDS]
+                cut = np.flatnonzero(np.diff(part)[1:]) + 1
+                for i, j in zip(np.r_[0, cut].tolist(), np.r_[cut, len(doc_ids)].tolist(), strict=True):
+                    if i == j:
+                        continue
+                    low = int(word_ends[i - 1]) if i else 0
+                    row = code[low : word_ends[j - 1]]
+                    row = np.where(row >= 0, row, len(common_off) - 2 - row)
+                    ids = every[_ranges(begin[row], size[row])]
+                    ends = np.r_[0, np.cumsum(size[row])][np.r_[0, word_ends[i:j] - low]]
+                    text_ends = np.r_[0, np.cumsum(letter_len[ids])][ends]
+                    data, decoded = memoryview(ids.astype("<u4").tobytes()), memoryview(letters[_ranges(letter_off[:-1][ids], letter_len[ids])].tobytes())
+                    columns = [
+                        doc_ids.slice(i, j - i),
+                        pa.array(np.diff(ends)),
+                        pa.array([hashlib.sha256(data[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]),
+                        pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(text_ends[:-1].tolist(), text_ends[1:].tolist(), strict=True)]),
+                    ]
+                    if keep_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
+
+    coded = plain.mapInArrow(look_up, "doc_ids array<long>, n_words array<int>, codes binary, rare array<string>")
+    folded = coded.withColumn("rare_ids", bpe_ids(F.col("rare"), literal))
     return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
