@@ -4,8 +4,9 @@ A shard holds the ids of consecutive documents. Each id takes the least bits tha
 blocks of BLOCK ids, each block begins on a byte, and a table of block offsets lets a reader unpack any run of ids with
 numpy without reading the rest.
 
-Layout, little-endian: magic (8 bytes); bits, block length (u32 each); documents, ids, blocks (u64 each); doc ids (i64);
-ends of the documents in ids (u64); block offsets in bytes from the payload's start (u64, blocks + 1); payload.
+Layout, little-endian: magic (8 bytes); blocks; doc ids (i64); ends of the documents in ids (u64); block offsets in bytes from
+the file's start (u64, blocks + 1); bits, block length (u32 each); documents, ids, blocks (u64 each); magic. So a writer holds
+one block and the list of documents, whatever the size of the shard.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ from pyspark.sql import functions as F
 from quarrylight.llm import textkit
 from quarrylight.llm.common import new_dir, written
 
-MAGIC = b"QLPACK01"
-HEAD = struct.Struct("<8sIIQQQ")
+MAGIC = b"QLPACK02"
+TAIL = struct.Struct("<IIQQQ8s")
 BLOCK = 8192
 #: Ids in a shard before the next one begins (a longer document has a shard of its own).
-SHARD_IDS = 1_000_000
+SHARD_IDS = 100_000_000
 #: Stored instead of a null doc_id.
 NO_ID = -(2**63)
-CACHE_WORDS = 100_000
+#: Words in each of the two generations of an encoder's cache.
+CACHE_WORDS = 150_000
+#: Ids that a reader holds at once, on average.
+READ_IDS = 1_000_000
 #: Words that the tokenizer gets at once.
 BATCH_WORDS = 4_000
 _encoders: dict[str, WordEncoder] = {}
@@ -58,11 +62,39 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return one.astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
 
 
-def shard_bytes(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray, bits: int, block: int = BLOCK) -> bytes:
-    blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
-    offsets = np.r_[0, np.cumsum([len(b) for b in blocks])].astype("<u8")
-    head = HEAD.pack(MAGIC, bits, block, len(doc_ids), len(ids), len(blocks))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), ends.astype("<u8").tobytes(), offsets.tobytes(), *blocks])
+class ShardWriter:
+    def __init__(self, out, bits: int, block: int = BLOCK):
+        self.out, self.bits, self.block = out, bits, block
+        self.keys: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self.offsets = [len(MAGIC)]
+        self.left = np.zeros(0, np.uint32)
+        self.n_ids = self.n_docs = 0
+        out.write(MAGIC)
+
+    def add(self, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.keys.append(doc_ids)
+        self.lengths.append(lengths)
+        self.n_ids += len(ids)
+        self.n_docs += len(doc_ids)
+        ids = np.r_[self.left, ids]
+        whole = len(ids) - len(ids) % self.block
+        for i in range(0, whole, self.block):
+            self._write(ids[i : i + self.block])
+        self.left = ids[whole:]
+
+    def _write(self, ids: np.ndarray) -> None:
+        data = pack(ids, self.bits)
+        self.out.write(data)
+        self.offsets.append(self.offsets[-1] + len(data))
+
+    def close(self) -> None:
+        if len(self.left):
+            self._write(self.left)
+        ends = np.cumsum(np.concatenate(self.lengths))
+        for x, kind in ((np.concatenate(self.keys), "<i8"), (ends, "<u8"), (np.array(self.offsets), "<u8")):
+            self.out.write(x.astype(kind).tobytes())
+        self.out.write(TAIL.pack(self.bits, self.block, len(ends), self.n_ids, len(self.offsets) - 1, MAGIC))
 
 
 class Shard:
@@ -71,21 +103,21 @@ class Shard:
     def __init__(self, path: str):
         fs, name = pafs.FileSystem.from_uri(path)
         self.file = fs.open_input_file(name)
-        magic, self.bits, self.block, n_docs, self.n_ids, n_blocks = HEAD.unpack(self.file.read_at(HEAD.size, 0))
+        tail = self.file.size() - TAIL.size
+        self.bits, self.block, n_docs, self.n_ids, n_blocks, magic = TAIL.unpack(self.file.read_at(TAIL.size, tail))
         if magic != MAGIC:
             raise ValueError(f"not a shard: {path}")
-        at = HEAD.size
+        at = tail - 16 * n_docs - 8 * (n_blocks + 1)
         self.doc_ids = np.frombuffer(self.file.read_at(8 * n_docs, at), "<i8")
         self.ends = np.frombuffer(self.file.read_at(8 * n_docs, at + 8 * n_docs), "<u8").astype(np.int64)
         self.offsets = np.frombuffer(self.file.read_at(8 * (n_blocks + 1), at + 16 * n_docs), "<u8").astype(np.int64)
-        self.payload = at + 16 * n_docs + 8 * (n_blocks + 1)
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """Ids from position a up to b: only the blocks that hold them are read."""
         if a >= b:
             return np.zeros(0, np.uint32)
         i, j = a // self.block, (b - 1) // self.block + 1
-        data = self.file.read_at(int(self.offsets[j] - self.offsets[i]), self.payload + int(self.offsets[i]))
+        data = self.file.read_at(int(self.offsets[j] - self.offsets[i]), int(self.offsets[i]))
         out = []
         for k in range(i, j):
             part = data[self.offsets[k] - self.offsets[i] : self.offsets[k + 1] - self.offsets[i]]
@@ -99,7 +131,11 @@ class Shard:
 class WordEncoder:
     """The tokenizers library behind a bounded cache. The tokenizer lowers case and its pattern never joins what ASCII white
     space parts, so each run between white space is encoded once, and a document's ids are those of its runs in order. Signs
-    at the end of a run, after an ASCII letter or digit, are matches of their own and are cached apart."""
+    at the end of a run, after an ASCII letter or digit, are matches of their own and are cached apart. A text that holds one of
+    the tokenizer's added tokens, which the library finds before all else, goes to the library as a whole.
+
+    The cache has two generations: when the newer is full, the older is dropped, and a word found in the older moves to the
+    newer, so that common words are never learnt again."""
 
     SIGNS = b".,;:!?#$%&*|"
     PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
@@ -108,23 +144,30 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores; threads would hold memory of their own
         from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # what only looks like an added token after lowering is spelled out
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text the bytes of its ids as little-endian unsigned 32-bit integers."""
-        split = [t.lower().split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = set().union(*split)
-        self._learn(new)
+        special = {i: np.array(self.whole.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes() for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        split = [() if i in special else t.lower().split() for i, t in enumerate(texts)]
+        here = set().union(*split)
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        new = here.difference(self.known)
+        older = self.older
+        again = {w: older[w] for w in new if w in older}
+        self.known.update(again)
+        self._learn(new.difference(again))
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        return [special[i] if i in special else b"".join(map(get, w)) for i, w in enumerate(split)]
 
     def _learn(self, new: set[bytes]) -> None:
         known = self.known
@@ -183,35 +226,29 @@ def write_shards(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int,
         encoder = encoder_of(tokenizer)
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        keys: list[np.ndarray] = []
-        parts: list[bytes] = []
-        held, seq = 0, 0
         last = np.array([end_id], "<u4").tobytes()
+        seq, out, shard = 0, None, None
 
         def flush() -> pa.RecordBatch:
-            nonlocal keys, parts, held, seq
-            ends = np.cumsum([len(p) // 4 for p in parts])
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            doc_ids = np.concatenate(keys)
-            name = f"{uuid.uuid4().hex}.qlp"
-            with fs.open_output_stream(f"{base}/{name}.part") as out:
-                out.write(shard_bytes(doc_ids, ends, ids, bits))
+            shard.close()
+            out.close()
             fs.move(f"{base}/{name}.part", f"{base}/{name}")
-            row = pa.record_batch([[f"{folder}/{name}"], [int(doc_ids[0])], [seq], [len(doc_ids)], [len(ids)]], names=["path", "first_doc", "seq", "n_docs", "n_ids"])
-            keys, parts, held, seq = [], [], 0, seq + 1
-            return row
+            return pa.record_batch([[f"{folder}/{name}"], [int(shard.keys[0][0])], [seq], [shard.n_docs], [shard.n_ids]], names=["path", "first_doc", "seq", "n_docs", "n_ids"])
 
         for batch in batches:
             for piece in textkit.chunks(batch):
+                if shard is None:
+                    name = f"{uuid.uuid4().hex}.qlp"
+                    out = fs.open_output_stream(f"{base}/{name}.part")
+                    shard = ShardWriter(out, bits)
                 buf, off = textkit.raw(piece.column("text"))
                 data = buf.tobytes()
-                found = encoder.encode([data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
-                parts += [x + last for x in found]
-                keys.append(piece.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
-                held += sum(len(x) // 4 + 1 for x in found)
-                if held >= shard_ids:
+                found = [x + last for x in encoder.encode([data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])]
+                shard.add(piece.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False), np.array([len(x) // 4 for x in found]), np.frombuffer(b"".join(found), "<u4"))
+                if shard.n_ids >= shard_ids:
                     yield flush()
-        if parts:
+                    seq, shard = seq + 1, None
+        if shard is not None:
             yield flush()
 
     ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
@@ -227,21 +264,18 @@ def read_digests(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = Shard(path)
-                ids = shard.ids(0, shard.n_ids).astype("<u4")
                 begin = np.r_[0, shard.ends[:-1]]
-                data = memoryview(ids.tobytes())
-                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), shard.ends.tolist(), strict=True)]
-                yield pa.record_batch(
-                    [
-                        pa.array(shard.doc_ids, mask=shard.doc_ids == NO_ID),
-                        pa.array(begin + start),
-                        pa.array(shard.ends - begin),
-                        pa.array(crc, pa.int64()),
-                        pa.array(ids[begin].astype(np.int64)),
-                        pa.array(ids[shard.ends - 1].astype(np.int64)),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "last_id"],
-                )
+                part = begin // READ_IDS
+                cut = np.flatnonzero(np.diff(part)) + 1
+                for i, j in zip(np.r_[0, cut].tolist(), np.r_[cut, len(begin)].tolist(), strict=True):
+                    low = int(begin[i])
+                    ids = shard.ids(low, int(shard.ends[j - 1])).astype("<u4")
+                    data = memoryview(ids.tobytes())
+                    a, b = begin[i:j] - low, shard.ends[i:j] - low
+                    crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    doc_ids = shard.doc_ids[i:j]
+                    columns = [pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(begin[i:j] + start), pa.array(b - a), pa.array(crc, pa.int64()), pa.array(ids[a].astype(np.int64)), pa.array(ids[b - 1].astype(np.int64))]
+                    yield pa.record_batch(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "last_id"])
 
     n = max(1, shards.count())
-    return shards.select("path", "start").repartition(min(n, 4096)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, last_id long")
+    return shards.select("path", "start").repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, first_id long, last_id long")
