@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.common import broadcast_if_small, written
+from quarrylight.llm.common import broadcast_if_small, fresh, written
 
 #: A line on so many distinct sites or more is boilerplate.
 SITES = 10
@@ -46,18 +46,18 @@ def remove_boilerplate(docs: DataFrame, sites: int = SITES, doc_id: str = "doc_i
 
     Null text stays null, with no lines; an empty text has one blank line. Blank lines and the order of lines stay; every
     copy of a boilerplate line goes, also the first. Documents with null sites are cleaned too, but don't count as sites. Rows
-    that repeat a doc_id are cleaned each on its own. Columns of docs named n_lines or n_removed are replaced.
+    that repeat a doc_id are cleaned each on its own. Very long texts are cleaned whole; no rows: no rows. Columns of docs named n_lines or n_removed are replaced.
     """
     found = written(boilerplate(docs, sites, text, site).select("h1", "h2"), "boilerplate")
     rows = docs.select(F.xxhash64(F.col(text).cast("string")).alias("t"), F.col(text).cast("string").alias("text"))
-    small = broadcast_if_small(found)
     hit = rows.select("t", F.explode(F.transform(lines_of(F.col("text")), lambda x: F.struct(*_key(x)))).alias("k")).select("t", "k.h1", "k.h2")
-    cut = written(hit.join(small, ["h1", "h2"]).distinct().groupBy("t").agg(F.collect_list(F.struct("h1", "h2")).alias("cut")), "cut")
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_cut", "_t")]
-    joined = docs.select(*kept, F.xxhash64(F.col(text).cast("string")).alias("_t")).join(broadcast_if_small(cut.select(F.col("t").alias("_t"), F.col("cut").alias("_cut")), 200_000), "_t", "left")
+    lost = written(hit.join(broadcast_if_small(found), ["h1", "h2"]).distinct().groupBy("t").agg(F.collect_list(F.struct("h1", "h2")).alias("cut")), "cut")
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    t, cut = fresh("text_hash", docs), fresh("cut_lines", docs)
+    joined = docs.select(*kept, F.xxhash64(F.col(text).cast("string")).alias(t)).join(broadcast_if_small(lost.toDF(t, cut)), t, "left")
     body = F.col(text).cast("string")
     every = lines_of(body)
-    stay = F.filter(every, lambda x: ~F.array_contains("_cut", F.struct(*_key(x))))
-    gone = F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(F.size(every) - F.size(stay)).cast("long")
-    new = F.when(F.col("_cut").isNull(), body).otherwise(F.array_join(stay, "\n"))
+    stay = F.filter(every, lambda x: ~F.array_contains(cut, F.struct(*_key(x))))
+    gone = F.when(F.col(cut).isNull(), F.lit(0)).otherwise(F.size(every) - F.size(stay)).cast("long")
+    new = F.when(F.col(cut).isNull(), body).otherwise(F.array_join(stay, "\n"))
     return joined.select(*[new.alias(c) if c == text else F.col(c) for c in kept], F.when(body.isNull(), F.lit(0)).otherwise(F.size(every)).cast("long").alias("n_lines"), gone.alias("n_removed"))
