@@ -26,26 +26,33 @@ def mixing_ctes(docs: str = "documents", out: str = "mixed") -> str:
     """CTEs that give `out`: docs with topic, n_tokens, probability, selected."""
     t = "coalesce(text, '')"
     axes = ("s", "l", "topic")
+    legal = " OR ".join(f"contains(lower({t}), '{x}')" for x in mix.LEGAL)
     parts = [
         f"""{out}_rows AS (SELECT *, coalesce(source, '{mix.NONE}') AS s, coalesce(lang, '{mix.NONE}') AS l,
-        CASE WHEN regexp_matches(lower({t}), 'licensed under|all rights reserved|general public license|mit license') THEN 'legal' WHEN contains({t}, ' | ') THEN 'table' WHEN contains({t}, '@') THEN 'contact' WHEN regexp_matches({t}, '[#$%&*]{{3}}') THEN 'symbols' WHEN regexp_matches({t}, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
+        CASE WHEN {legal} THEN 'legal' WHEN contains({t}, ' | ') THEN 'table' WHEN contains({t}, '@') THEN 'contact' WHEN regexp_matches({t}, '[#$%&*]{{3}}') THEN 'symbols' WHEN regexp_matches({t}, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic,
         CAST(len(list_filter(regexp_split_to_array({t}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS BIGINT) AS n_tokens FROM {docs})""",
         f"{out}_cells AS (SELECT s, l, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM {out}_rows GROUP BY ALL HAVING sum(n_tokens) > 0)",
+        f"{out}_goal AS (SELECT sum(tokens) * {mix.BUDGET} AS goal FROM {out}_cells)",
     ]
-    for a in axes:
-        parts.append(f"{out}_target_{a} AS (SELECT {a}, p / sum(p) OVER () AS share FROM (SELECT {a}, pow(sum(tokens), {mix.SOFTEN}) AS p FROM {out}_cells GROUP BY 1))")
-    parts.append(f"{out}_r0 AS MATERIALIZED (SELECT s, l, topic, tokens, tokens / sum(tokens) OVER () AS weight FROM {out}_cells)")
-    k = 0
-    for _ in range(mix.ROUNDS):
-        for a in axes:
-            parts.append(f"{out}_r{k + 1} AS MATERIALIZED (SELECT s, l, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {a}) AS weight FROM {out}_r{k} JOIN {out}_target_{a} USING ({a}))")
-            k += 1
-    parts.append(f"{out}_c0 AS MATERIALIZED (SELECT sum(tokens) * {mix.BUDGET} AS goal, sum(tokens) * {mix.BUDGET} / sum(weight) AS c FROM {out}_r{k})")
-    for i in range(mix.FILL_ROUNDS):
-        parts.append(
-            f"{out}_c{i + 1} AS MATERIALIZED (SELECT goal, CASE WHEN w > 0 THEN (goal - t) / w ELSE c END AS c FROM (SELECT goal, c, sum(CASE WHEN c * weight >= tokens THEN tokens ELSE 0 END) AS t, sum(CASE WHEN c * weight >= tokens THEN 0 ELSE weight END) AS w FROM {out}_r{k}, {out}_c{i} GROUP BY goal, c))"
-        )
-    parts.append(f"{out}_chance AS (SELECT s, l, topic, least(1.0, c * weight / tokens) AS probability FROM {out}_r{k}, {out}_c{mix.FILL_ROUNDS})")
+    for a in axes:  # values that are used up come first in the order of tokens by share
+        parts.append(f"{out}_share_{a} AS (SELECT {a}, sum(tokens) AS t, pow(sum(tokens), {mix.SOFTEN}) AS p FROM {out}_cells GROUP BY 1)")
+        parts.append(f"{out}_left_{a} AS (SELECT *, goal - coalesce(sum(t) OVER (ORDER BY t / p, {a} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(p) OVER (ORDER BY t / p, {a} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS of, row_number() OVER (ORDER BY t / p, {a}) AS i FROM {out}_share_{a}, {out}_goal)")
+        parts.append(f"{out}_target_{a} AS (SELECT {a}, least(t, p * coalesce((SELECT arg_min(rest / of, i) FROM {out}_left_{a} WHERE rest / of < t / p), t / p)) AS target_{a} FROM {out}_share_{a})")
+    columns = "s, l, topic, tokens, target_s, target_l, target_topic"
+
+    def scaled(a: str, of: str) -> str:
+        sums = {"all_": "weight", "full_": f"CASE WHEN weight >= tokens * {mix.USED_UP} THEN tokens ELSE 0 END", "free_": f"CASE WHEN weight >= tokens * {mix.USED_UP} THEN 0 ELSE weight END"}
+        over = ", ".join(f"sum({v}) OVER (PARTITION BY {a}) AS {k}" for k, v in sums.items())
+        factor = f"CASE WHEN target_{a} > full_ AND free_ > 0 THEN (target_{a} - full_) / free_ WHEN target_{a} < full_ OR free_ > 0 THEN target_{a} / all_ ELSE 1 END"
+        return f"SELECT k, {columns}, weight * {factor} AS weight FROM (SELECT *, {over} FROM ({of}))"
+
+    gaps = ", ".join(f"sum(abs(m_{a} - target_{a}) / n_{a}) OVER () / goal" for a in axes)
+    sums = ", ".join(f"sum(least(weight, tokens)) OVER (PARTITION BY {a}) AS m_{a}, count(*) OVER (PARTITION BY {a}) AS n_{a}" for a in axes)
+    measured = lambda of: f"SELECT k, {columns}, weight, greatest({gaps}) AS gap FROM (SELECT *, {sums} FROM ({of})), {out}_goal"
+    begin = f"SELECT 0 AS k, {columns}, tokens * {mix.BUDGET} AS weight FROM {out}_cells JOIN {out}_target_s USING (s) JOIN {out}_target_l USING (l) JOIN {out}_target_topic USING (topic)"
+    step = scaled("topic", scaled("l", scaled("s", f"SELECT k + 1 AS k, {columns}, weight FROM {out}_raked WHERE gap > {mix.TOLERANCE} AND k < {mix.ROUNDS}")))
+    parts.append(f"{out}_raked AS ({measured(begin)} UNION ALL {measured(step)})")
+    parts.append(f"{out}_chance AS (SELECT s, l, topic, least(1.0, weight / tokens) AS probability FROM {out}_raked WHERE k = (SELECT max(k) FROM {out}_raked))")
     parts.append(
         f"""{out} AS (SELECT r.* EXCLUDE (s, l), CASE WHEN n_tokens > 0 THEN coalesce(p.probability, 0) ELSE 0 END AS probability,
         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN n_tokens > 0 THEN coalesce(p.probability, 0) ELSE 0 END AS selected
@@ -55,4 +62,4 @@ def mixing_ctes(docs: str = "documents", out: str = "mixed") -> str:
 
 
 def mixing() -> str:
-    return f"WITH {mixing_ctes()} SELECT doc_id, topic, n_tokens, round(CAST(probability AS DOUBLE), 6) AS probability, selected FROM mixed"
+    return f"WITH RECURSIVE {mixing_ctes()} SELECT doc_id, topic, n_tokens, round(CAST(probability AS DOUBLE), 6) AS probability, selected FROM mixed"

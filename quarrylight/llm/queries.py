@@ -70,7 +70,8 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = written(mixing.labelled(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens"), "labelled")
+    found = mixing.mix(rows, has_labels=True)
     return found.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "selected")
 
 

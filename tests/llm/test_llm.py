@@ -59,7 +59,6 @@ def test_op1_ids_and_random_access(spark, sf_dir, docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(q.tokenizer_file("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = [[*e.ids, 1] for e in t.encode_batch(docs.text.fillna("").tolist(), add_special_tokens=False)]
     got = by_id(q.op1_token_pack(spark, sf_dir))
     assert got.n_tokens.tolist() == [len(w) for w in want]
@@ -72,6 +71,20 @@ def test_op1_ids_and_random_access(spark, sf_dir, docs):
         assert s.document(k).tolist() == want[docs.doc_id.tolist().index(s.doc_ids[k])]
 
 
+def test_op1_added_tokens_and_a_small_cache(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = q.tokenizer_file("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    names = [x.content for x in t.get_added_tokens_decoder().values()]
+    texts = [f"one {n}two{n} three" for n in names] + [n.upper() for n in names] + [n[:-1] + " >" for n in names] + ["Straße İstanbul ǅ 'S we'LL #1!? x.y, 漢字 🙂", "word " * 50] + [f"w{i} v{i % 7} {i}." for i in range(200)]
+    monkeypatch.setattr(token_pack, "CACHE_WORDS", 20)
+    e = token_pack.WordEncoder(path)
+    for i in range(0, len(texts), 9):
+        part = texts[i : i + 9]
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode([x.encode() for x in part])] == [t.encode(x, add_special_tokens=False).ids for x in part]
+
+
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
 def test_op1_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1000).astype(np.uint32)
@@ -344,10 +357,24 @@ def test_op9_as_the_library(spark, sf_dir, docs):
         assert got.decoded_sha256.tolist() == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
 
 
-def test_op10_marginals(spark, sf_dir):
-    found = mixing.mix(common.table(spark, sf_dir, "documents")).toPandas()
-    expected = (found.probability * found.n_tokens).sum()
-    assert abs(expected / (mixing.BUDGET * found.n_tokens.sum()) - 1) < 0.05 and found.probability.between(0, 1).all()
+@pytest.mark.parametrize("given", [False, True])
+def test_op10_marginals(spark, given):
+    rng = np.random.default_rng(2)
+    rows = [(i, f"{'# ' * int(rng.integers(0, 2))}word {'7 ' if i % 3 else ''}" * int(rng.integers(1, 60)), "en" if rng.random() < 0.7 else "fr", f"s{min(int(rng.integers(0, 9)), 3)}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"s0": 1.0, "s1": 0.5, "s2": 0.5, "s3": 2.0, "none": 9.0}, "lang": {"en": 1.0, "fr": 1.0}} if given else {}
+    found = mixing.mix(docs, {a: spark.createDataFrame(list(t.items()), "value string, share double") for a, t in targets.items()}).toPandas()
+    goal = mixing.BUDGET * found.n_tokens.sum()
+    expected = found.assign(w=found.probability * found.n_tokens)
+    assert abs(expected.w.sum() / goal - 1) < 0.001 and found.probability.between(0, 1).all()
+    for axis in ("source", "lang", "topic"):
+        has = found.groupby(axis).n_tokens.sum()
+        share = pd.Series(targets.get(axis, has**mixing.SOFTEN)).reindex(has.index).fillna(0.0)
+        low, high = 0.0, 1e12
+        for _ in range(200):  # the level at which the targets, cut to what there is, sum to the goal
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.minimum(has, share * mid).sum() < goal else (low, mid)
+        assert (expected.groupby(axis).w.sum() - np.minimum(has, share * high)).abs().sum() <= 2 * mixing.TOLERANCE * goal, axis
 
 
 def test_odd_rows(spark, odd):
