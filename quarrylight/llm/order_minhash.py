@@ -26,6 +26,8 @@ SKETCHES = 64
 SHORT_WORDS = 60
 SHORT_LENGTH = 2
 SIMILARITY = 0.8
+#: Values of a text that are put in order for a sketch, on average.
+FEW = 14
 
 
 def sketches(w: textkit.Words, length: int = LENGTH, seed: int = 21) -> np.ndarray:
@@ -38,18 +40,28 @@ def sketches(w: textkit.Words, length: int = LENGTH, seed: int = 21) -> np.ndarr
         return out
     h = textkit.labelled(h, first)
     begin, size = first[:-1][full], n[full]
+    owner = np.repeat(np.arange(len(full)), size)
+    # a bound that about FEW values of a text keep below, so that only those are put in order
+    limit = np.repeat(np.where(size > FEW, np.minimum(FEW / size, 0.99) * 2.0**64, 0).astype(np.uint64), size)
+    limit[np.repeat(size <= FEW, size)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    want = np.minimum(size, length)
     factor, shift = textkit.constants(SKETCHES, seed), textkit.constants(SKETCHES, seed + 1)
-    top = np.uint64(0xFFFFFFFFFFFFFFFF)
     value = np.empty_like(h)
     weight = textkit.constants(length, seed + 2)
     for j in range(SKETCHES):
         np.multiply(h, factor[j], out=value)
         value += shift[j]
-        picked = np.empty((length, len(full)), np.int64)
+        low = np.flatnonzero(value <= limit)
+        of = owner[low]
+        low = low[np.argsort((of.astype(np.uint64) << np.uint64(40)) | (value[low] >> np.uint64(24)))]
+        count = np.bincount(of, minlength=len(full))
+        at = np.cumsum(count) - count
+        picked = np.full((length, len(full)), np.iinfo(np.int64).max)
         for r in range(length):
-            picked[r] = _places(value, begin, size)
-            value[picked[r]] = top
-            picked[r, size <= r] = np.iinfo(np.int64).max  # all are picked: behind the others, and counted as none
+            there = count > r
+            picked[r, there] = low[at[there] + r]
+        for x in np.flatnonzero(count < want).tolist():
+            picked[: want[x], x] = begin[x] + np.argsort(value[begin[x] : begin[x] + size[x]])[: want[x]]
         picked.sort(0)
         for r in range(length):
             there = size > r
@@ -58,12 +70,6 @@ def sketches(w: textkit.Words, length: int = LENGTH, seed: int = 21) -> np.ndarr
     return out
 
 
-def _places(value: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Where each document's least value stands, the first of equals."""
-    at = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, begin), size))
-    return at[np.searchsorted(at, begin)]
-
-
 def band_keys(w: textkit.Words) -> np.ndarray:
     n = np.diff(w.first)
     keys = np.zeros((len(n), 2 * SKETCHES), np.uint64)

@@ -1,12 +1,13 @@
 """Classes of near duplicates from band keys: candidates, verification, components. Shared by the operators on documents.
 
 Exact copies are put aside by the hash of their texts, so a text is compared once however often it stands in the table. Two
-documents are candidates if they share a band key. Pairs within a key are not spelled out: each document is compared with
-one hub, the member of least seeded hash in some key; what is alike is joined into components. More rounds do so with other
-hubs.
-What is still in different components then is compared and verified within each key, in blocks of bounded size, so that only
-links leave a block. A pair is compared in the first key that it shares, and aligned if it has enough parts in common. Nothing
-is left out: hubs only save comparisons within a component.
+documents are candidates if they share a band key. Pairs within a key are not spelled out: a document is compared with one hub,
+the one most of its keys have, and what is alike gets a common root. The first round looks at a few keys of each document, which
+is enough for most of a large group; later ones at all keys that still have several roots.
+What then still has different roots is compared and verified within each key, in blocks of bounded size, so that only links
+between roots leave a block. A pair is compared in the first key that it shares, and aligned if it has enough parts in common.
+Nothing is left out: hubs only save comparisons within a component. Roots are ordered by a hash of the id (a bijection), so that
+the root of a large component is likely to be the least of any key.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textkit
-from quarrylight.llm.common import broadcast_if_small, components, written
+from quarrylight.llm.common import broadcast_if_small, components, discard, written
 
-HUB_ROUNDS = 3
+#: Keys of a document in the first round of hubs; the number of rounds with all keys.
+FIRST_KEYS = 4
+HUB_ROUNDS = 2
 #: Members of a key that one task compares with one another, on average.
-BLOCK = 1024
+BLOCK = 512
 #: Words of them, on average.
 BLOCK_WORDS = 1_000_000
 #: Pairs of a document from which their common parts are counted by a table of the block.
@@ -68,30 +71,36 @@ def _verify(method: Method):
         for batch in batches:
             left, right = batch.column("form_a"), batch.column("form_b")
             hit = [method.alike(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(left, right, strict=True)]
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit, pa.bool_()))
+            yield pa.record_batch([batch.column("root"), batch.column("hub_root")], names=["node", "parent"]).filter(pa.array(hit, pa.bool_()))
 
     return run
 
 
-def _verified(pairs: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
-    one, two = forms.toDF("a", "form_a"), forms.toDF("b", "form_b")
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "form_a", "form_b").mapInArrow(_verify(method), "a long, b long"), "verified")
+def _hub_round(members: DataFrame, roots: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
+    """roots after each member of (k, id, n_words, root) has been compared with one hub of another root."""
+    least = F.min(F.struct("root", F.col("id").alias("hub"), F.col("n_words").alias("hub_words"))).alias("least")
+    hubs = members.groupBy("k").agg(least, F.max("root").alias("high")).where("least.root < high").select("k", "least.hub", "least.hub_words", F.col("least.root").alias("hub_root"))
+    met = members.join(hubs, "k").where("root <> hub_root").where(_long_enough(method, "n_words", "hub_words"))
+    # as many hubs as keys for each id, at most
+    chosen = met.groupBy("id").agg(F.min("root").alias("root"), F.mode("hub", True).alias("hub"), F.collect_set(F.struct("hub", "hub_root")).alias("hubs"))
+    pairs = chosen.select("id", "root", "hub", F.filter("hubs", lambda x: x["hub"] == F.col("hub"))[0]["hub_root"].alias("hub_root"))
+    texts = pairs.join(forms.toDF("id", "form_a"), "id").join(forms.toDF("hub", "form_b"), "hub").select("root", "hub_root", "form_a", "form_b")
+    up = written(texts.mapInArrow(_verify(method), "node long, parent long").groupBy("node").agg(F.min("parent").alias("parent")), "parents")
+    for _ in range(2):  # parents are less than their nodes, so there are no circles
+        above = up.toDF("parent", "above")
+        before, up = up, written(up.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")), "parents")
+        discard(before)
+    out = written(roots.join(up.toDF("root", "parent"), "root", "left").select("id", F.coalesce("parent", "root").alias("root")), "roots")
+    discard(roots, up)
+    return out
 
 
 def _long_enough(method: Method, m: str, n: str) -> Column:
     return F.least(m, n) >= F.greatest(m, n) * method.least_length - 1e-9
 
 
-def _hub_pairs(members: DataFrame, method: Method, seed: int) -> DataFrame:
-    """(a, b): each member with one hub, that of least seeded hash among its keys' hubs in other components. members: (k, id,
-    n_words, root)."""
-    rank = F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), F.col("id").alias("hub"), F.col("root").alias("hub_root"), F.col("n_words").alias("hub_words"))
-    hubs = members.groupBy("k").agg(F.min(rank).alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k", "least.hub", "least.hub_root", "least.hub_words")
-    return members.join(hubs, "k").where("root <> hub_root").where(_long_enough(method, "n_words", "hub_words")).groupBy(F.col("id").alias("a")).agg(F.min(F.struct(F.xxhash64(F.lit(seed), "hub").alias("h"), F.col("hub").alias("hub"))).alias("least")).select("a", F.col("least.hub").alias("b"))
-
-
 def _block_links(members: DataFrame, keys: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
-    """(a, b): links that join all alike members of one key and different components. members: (k, band, id, n_words, root)."""
+    """(a, b): links between roots that join all alike members of a key. members: (k, band, id, n_words, root)."""
     sizes = members.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("n_blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k", "n_blocks")
     home = members.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("n_blocks")).cast("int"))
     spread = home.select("k", "band", "id", "n_words", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
@@ -140,7 +149,7 @@ def _links(rows: pa.Table, method: Method) -> list[tuple[int, int]]:
             y = y[method.near(both, size[y], size[x])]
         for k in y.tolist():
             if root[k] != root[x] and method.alike(forms[x], forms[k]):
-                found.append((int(ids[x]), int(ids[k])))
+                found.append((int(root[x]), int(root[k])))
                 root[root == root[k]] = root[x]
     return found
 
@@ -179,28 +188,32 @@ def classes(docs: DataFrame, method: Method, doc_id: str = "doc_id", text: str =
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = plain.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"))
     rows = written(keyed.mapInArrow(_sketches(method), "doc_id long, t1 long, t2 int, n_words long, keys array<bigint>"), "sketches")
-    copies = written(rows.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep")), "copies")
-    named = rows.select("doc_id", "t1", "t2").join(copies, ["t1", "t2"]).select("doc_id", "rep")
-    reps = rows.join(copies.withColumnRenamed("rep", "doc_id"), ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"])
-    every = reps.select(F.col("doc_id").alias("id"), "n_words", F.posexplode("keys").alias("band", "key")).select("id", "n_words", "band", F.xxhash64("band", "key").alias("k"))
+    least = F.min(F.struct("doc_id", "n_words", "keys")).alias("least")
+    reps = written(rows.groupBy("t1", "t2").agg(least).select("t1", "t2", F.col("least.doc_id").alias("id"), "least.n_words", "least.keys"), "texts")
+    every = reps.select("id", "n_words", F.posexplode("keys").alias("band", "key")).select("id", "n_words", "band", F.xxhash64("band", "key").alias("k"))
     shared = every.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
     members = written(every.join(shared, "k").select("k", "band", "id", "n_words"), "members")
     candidates = written(members.select("id").distinct(), "candidates")
     forms = keyed.select("doc_id", "text").join(broadcast_if_small(candidates).withColumnRenamed("id", "doc_id"), "doc_id")
     forms = written(forms.mapInArrow(_forms(method), "id long, form binary"), "forms")
-    edges = named.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    verified = None
-    roots = candidates.select("id", F.col("id").alias("root"))
-    for step in range(HUB_ROUNDS + 1):
-        rooted = members.join(roots, "id", "left").select("k", "band", "id", "n_words", F.coalesce("root", "id").alias("root"))
-        if step < HUB_ROUNDS:
-            new = _verified(_hub_pairs(rooted, method, step), forms, method)
-        else:
-            keys = reps.select(F.col("doc_id").alias("id"), "keys").join(candidates, "id", "left_semi")
-            new = written(_block_links(rooted, keys, forms, method), "links")
-        verified = new if verified is None else verified.union(new)
-        if step < HUB_ROUNDS:
-            roots = written(components(verified, "a", "b").toDF("id", "root"), "roots")
-    roots = written(components(verified.union(edges), "a", "b").toDF("doc_id", "root"), "roots")
-    found = plain.where("doc_id is not null").select("doc_id").join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("class_id"))
-    return found.union(plain.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    roots = written(candidates.select("id", F.xxhash64("id").alias("root")), "roots")
+    roots = _hub_round(members.where(F.col("band") < FIRST_KEYS).withColumn("root", F.xxhash64("id")), roots, forms, method)
+    for _ in range(HUB_ROUNDS):
+        roots = _hub_round(members.join(roots, "id"), roots, forms, method)
+    keys = reps.select("id", "keys").join(candidates, "id", "left_semi")
+    links = _block_links(members.join(roots, "id").select("k", "band", "id", "n_words", "root"), keys, forms, method)
+    named = written(rows.select("doc_id", "t1", "t2").join(reps.select("t1", "t2", "id"), ["t1", "t2"]).select("doc_id", "id"), "named")
+    several = written(named.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("doc_id"), "several")
+    if several.head(1):  # rows that repeat a doc_id tie their texts together
+        tied = named.join(several, "doc_id").select("id", F.xxhash64("doc_id").alias("b"))
+        links = links.union(tied.join(roots, "id", "left").select(F.coalesce("root", F.xxhash64("id")).alias("a"), "b"))
+        roots = written(roots.union(tied.select("id", F.xxhash64("id").alias("root")).join(roots.select("id"), "id", "left_anti").distinct()), "roots")
+    top = components(links, "a", "b")
+    labels = written(roots.join(top.toDF("root", "top"), "root", "left").select("id", F.coalesce("top", "root").alias("label")), "labels")
+    heads = labels.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("label", "class_id")
+    moved = labels.join(heads, "label").where("id <> class_id").select("id", "class_id")
+    class_of = named.join(moved, "id", "left").select("doc_id", F.coalesce("class_id", "id").alias("class_id")).where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    found = written(class_of, "classes")
+    discard(rows, reps, members, candidates, forms, roots, named, several, labels)
+    out = plain.where("doc_id is not null").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return out.union(plain.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
