@@ -187,3 +187,19 @@ def numeric_claims(docs: DataFrame, units: tuple[str, ...], doc_id: str = "doc_i
     high = F.coalesce(F.nullif(F.regexp_extract("clause", pattern, 2), F.lit("")).try_cast("double"), low)
     found = one.select(doc_id, low.alias("low"), high.alias("high"), F.regexp_extract("clause", pattern, 3).alias("unit"), F.regexp_count("clause", F.lit("[0-9]+(?:[.][0-9]+)?")).alias("n"))
     return found.where((F.col("n") == 1) | (F.col("low") < F.col("high"))).select(doc_id, "low", "high", "unit")
+
+
+def chunk_languages(chunks: DataFrame, group: str, position: str, lang: str, dropped: list[str], unknown: str = "unknown") -> DataFrame:
+    """(group, position, lang, chunk): chunks of dropped languages go, unknown ones take the group's commonest known language
+    (ties by name; dropped ones count), and the rest are numbered anew from 0."""
+    n = chunks.where(F.col(lang) != unknown).groupBy(group, lang).agg(F.count("*").alias("n"))
+    top = n.groupBy(group).agg(F.min(F.struct((-F.col("n")).alias("c"), F.col(lang).alias("l"))).alias("top")).select(group, F.col("top.l").alias("_dominant"))
+    kept = chunks.where(~F.col(lang).isin(*dropped)).join(top, group, "left")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(position)) - 1
+    return kept.select(group, position, F.when(F.col(lang) == unknown, F.col("_dominant")).otherwise(F.col(lang)).alias("lang"), place.alias("chunk"))
+
+
+def with_predecessor(rows: DataFrame, group: str, position: str, size: Column, name: Column) -> DataFrame:
+    """rows with `span` and `heading`: size and name of the row before in the group."""
+    w = Window.partitionBy(group).orderBy(position)
+    return rows.withColumns({"span": F.lag(size).over(w), "heading": F.lag(name).over(w)})

@@ -99,10 +99,11 @@ def extend(pool: DataFrame, more: DataFrame, n: int) -> DataFrame:
 
 
 def filter_open(rows: DataFrame, keep: Column, by: str, least: int = 1) -> DataFrame:
-    """Rows that satisfy `keep`; a group in which fewer than `least` rows do stays as it was. Null is not satisfied."""
+    """Rows that satisfy `keep`; a group in which fewer than `least` rows do stays as it was; null is a group too. A null
+    predicate is not satisfied."""
     ok = F.coalesce(keep, F.lit(False))
-    counts = rows.groupBy(by).agg(F.count_if(ok).alias("_n"))
-    return rows.join(counts, by).where(ok | (F.col("_n") < least)).drop("_n")
+    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count_if(ok).alias("_n"))
+    return rows.join(counts, rows[by].eqNullSafe(counts["_by"])).where(ok | (F.col("_n") < least)).drop("_n", "_by")
 
 
 def round_robin(rows: DataFrame, query: str, source: str, order: list[Column], k: int, cap: int | None = None) -> DataFrame:
@@ -149,3 +150,37 @@ def complement(candidates: DataFrame, picked: int = 2, redundancy: float = 0.12)
         gain = F.max(F.when(F.col("_n") == 1, F.col("terms"))).over(whole)
         left = placed.withColumn("have", F.array_union("have", gain)).where("_n > 1").drop("_n")
     return out
+
+
+def reserve_one(pool: DataFrame, rows: DataFrame, wanted: Column, order: list[Column]) -> DataFrame:
+    """The pool, and at its end one row at most that is `wanted`, if the pool has none of these."""
+    marked = rows.where(wanted)
+    have = pool.join(marked.select("query", "id"), ["query", "id"], "left_semi").select("query").distinct()
+    w = Window.partitionBy("query").orderBy(*order)
+    new = marked.join(have, "query", "left_anti").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    ends = pool.groupBy("query").agg(F.max("rank").alias("_base"))
+    return pool.select(*COLUMNS).union(new.join(ends, "query").select("query", "id", "score", (F.col("_base") + 1).cast("int").alias("rank")))
+
+
+def diverse(rows: DataFrame, query: str, need: str, source: str, order: list[Column], sources: int = 2, per_need: int = 2, total: int = 6) -> DataFrame:
+    """Up to `per_need` rows for each need of a query, from its `sources` best sources, one after another; `total` in all, needs
+    taking turns."""
+    per = Window.partitionBy(query, need, source).orderBy(*order)
+    best = Window.partitionBy(query, need).orderBy(*order)
+    r = rows.withColumn("_turn", F.row_number().over(per)).where(F.col("_turn") <= per_need).withColumn("_place", F.row_number().over(best))
+    r = r.withColumn("_lead", F.min("_place").over(Window.partitionBy(query, need, source)))
+    r = r.withColumn("_source", F.dense_rank().over(Window.partitionBy(query, need).orderBy("_lead"))).where(F.col("_source") <= sources)
+    r = r.withColumn("turn", F.row_number().over(Window.partitionBy(query, need).orderBy("_turn", "_lead"))).where(F.col("turn") <= per_need)
+    r = r.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy("turn", need)))
+    return r.where(F.col("place") <= total).drop("_turn", "_place", "_lead", "_source")
+
+
+def searched(rows: DataFrame, by: list[Column], active: Column, limit: int, factor: int = 3) -> DataFrame:
+    """A content search's rows: the first limit * factor in the order `by`, of these active ones first, `limit` in all."""
+    return rows.orderBy(*by).limit(limit * factor).orderBy((~F.coalesce(active, F.lit(False))).cast("int"), *by).limit(limit)
+
+
+def best_of(rows: DataFrame, by: str, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group in an order of several keys, with `place`."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

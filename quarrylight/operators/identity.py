@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.session import discard, written
+
 
 def resolve(mentions: DataFrame, rules: list[tuple[str, DataFrame]], key: str = "key") -> DataFrame:
     """mentions with target and how: the first rule (kind, frame of key and target) that knows the key. A key with several
@@ -17,16 +19,76 @@ def resolve(mentions: DataFrame, rules: list[tuple[str, DataFrame]], key: str =
     return mentions.join(best, key, "left").select(*mentions.columns, F.when(one, F.col("b.target")).alias("target"), F.when(F.col("b").isNull(), "none").when(one, F.col("b.kind")).otherwise(F.concat("b.kind", F.lit("?"))).alias("how"))
 
 
-def follow(links: DataFrame, source: str = "source", target: str = "target", depth: int = 32) -> DataFrame:
-    """(source, target, steps): where each redirect ends. Steps double each round, so few rounds reach deep chains; a chain that
-    runs in a circle ends at null. links: one target for each source."""
-    now = links.select(F.col(source).alias("s"), F.col(target).alias("t"), F.lit(1).alias("n")).where("s is not null and t is not null")
-    rounds = max(1, (depth - 1).bit_length())
-    for _ in range(rounds):
+def follow(links: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """(source, target, steps): where each redirect ends. Steps double each round, until no row changes or only circles are
+    left; a chain that runs into a circle ends at null. links: one target for each source."""
+    first = links.select(F.col(source).alias("s"), F.col(target).alias("t"), F.lit(1).cast("long").alias("n")).where("s is not null and t is not null")
+    now = written(first, "redirects")
+    n_links, reach = now.count(), 1
+    while True:
         nxt = now.select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"))
-        now = now.join(nxt, "t", "left").select("s", F.coalesce("t2", "t").alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-    looped = now.join(links.select(F.col(source).alias("t")).distinct().withColumn("open", F.lit(True)), "t", "left")
-    return looped.select(F.col("s").alias(source), F.when(F.col("open").isNull(), F.col("t")).alias(target), F.when(F.col("open").isNull(), F.col("n")).alias("steps"))
+        joined = now.join(nxt, "t", "left").select("s", F.coalesce("t2", "t").alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.col("t2").isNotNull().alias("open"))
+        before, now, reach = now, written(joined, "redirects"), 2 * reach
+        discard(before)
+        # once a round began with more steps than there are links, what goes on has come round
+        if reach > 2 * n_links or not now.where("open").head(1):
+            break
+    whole = ~F.col("open")
+    return now.select(F.col("s").alias(source), F.when(whole, F.col("t")).alias(target), F.when(whole, F.col("n")).alias("steps"))
+
+
+def lineage(links: DataFrame, source: str = "source", target: str = "target", depth: int = 16) -> DataFrame:
+    """(source, ancestor, depth): all that a document replaces, step by step, to `depth` steps; a circle ends where it would
+    come back to its start."""
+    step = links.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_s is not null and _t is not null")
+    now = written(step.select(F.col("_s").alias("source"), F.col("_t").alias("ancestor"), F.lit(1).alias("depth")), "lineage")
+    every = now
+    for _ in range(depth - 1):
+        if not now.head(1):
+            break
+        now = written(now.join(step, F.col("ancestor") == F.col("_s")).where("_t <> source").select("source", F.col("_t").alias("ancestor"), (F.col("depth") + 1).alias("depth")), "lineage")
+        every = every.union(now)
+    return every.select(F.col("source").alias(source), "ancestor", "depth")
+
+
+def families(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """(node, family): connected components named by their least node. Each round a node takes the least label around it, and
+    then the label of its label, so that long chains shorten by half; rounds are written to the shared folder."""
+    edges = written(links.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a is not null and b is not null").distinct(), "links")
+    both = edges.union(edges.select("b", "a"))
+    now = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        around = both.join(now.toDF("b", "label"), "b").groupBy("a").agg(F.min("label").alias("m")).toDF("node", "m")
+        near = now.join(around, "node").select("node", F.least("label", "m").alias("label"), F.col("label").alias("old"))
+        above = now.toDF("label", "up")
+        nxt = written(near.join(above, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"), "labels")
+        discard(now)
+        now = nxt.select("node", "label")
+        now.written_to = nxt.written_to
+        if not nxt.where("label <> old").head(1):
+            return now.toDF("node", "family")
+
+
+def resolve_documents(mentions: DataFrame, registry: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, state, document): which registered document a mention is, by hash, then by name.
+
+    mentions: row_id, hash, name, brand; registry: document, hash, name, brand, status. A mention with a brand meets only
+    documents of that brand; without one the name says nothing. One active document: active; several: ambiguous; none, but
+    others: only_inactive; the first key that knows anything decides. Else no_match. Matches are counted before the join, so a
+    key that many documents have costs one row."""
+    def facts(keys: list[str]) -> DataFrame:
+        live = F.col("status") == "active"
+        return registry.groupBy(*keys).agg(F.count_if(live).alias("n"), F.min(F.when(live, F.col("document"))).alias("document"))
+
+    out = mentions.select(row_id, "hash", "name", "brand")
+    for i, keys in enumerate((["hash", "brand"], ["hash"], ["name", "brand"])):
+        out = out.join(facts(keys).toDF(*keys, f"n{i}", f"d{i}"), keys, "left")
+    branded = F.col("brand").isNotNull()
+    tries = [(F.when(branded, F.col("n0")).otherwise(F.col("n1")), F.when(branded, F.col("d0")).otherwise(F.col("d1"))), (F.when(branded, F.col("n2")), F.col("d2"))]
+    n = F.coalesce(*[t[0] for t in tries])
+    found = F.when(tries[0][0].isNotNull(), tries[0][1]).otherwise(tries[1][1])
+    state = F.when(n.isNull(), "no_match").when(n == 1, "active").when(n > 1, "ambiguous").otherwise("only_inactive")
+    return out.select(row_id, state.alias("state"), F.when(n == 1, found).alias("document"))
 
 
 def authority(counts: DataFrame) -> Column:
@@ -98,9 +160,13 @@ def latest_before(left: DataFrame, right: DataFrame, key: str, left_time: str, r
 
 
 def matched_by_prefix(notes: DataFrame, log: DataFrame, person: str, note_text: str, log_text: str, log_time: str, log_id: str, note_id: str, length: int = 200) -> DataFrame:
-    """(note_id, log_id): for each note the person's latest log row whose text begins with the note's first `length` signs. The
-    join is on the person and the first signs' hash where the note is long enough, so equal beginnings only meet."""
-    n = notes.select(note_id, F.col(person).alias("p"), F.left(note_text, F.lit(length)).alias("head"))
-    l = log.select(log_id, F.col(person).alias("p"), F.col(log_text).alias("t"), F.col(log_time).alias("at"))
-    hit = n.join(l, "p").where(F.col("t").startswith(F.col("head")))
-    return hit.groupBy(note_id).agg(F.max_by(log_id, F.struct("at", log_id)).alias(log_id))
+    """(note_id, log_id): for each note the person's latest log row whose text begins with the note's first `length` signs.
+
+    The join is on the person and the beginning. Notes shorter than `length` meet the log by the beginning of their
+    own length: the log is spelled out only for the lengths that the person's notes have."""
+    n = notes.select(note_id, F.col(person).alias("p"), F.left(note_text, F.lit(length)).alias("head")).where("head is not null").withColumn("size", F.length("head"))
+    sizes = n.groupBy("p").agg(F.collect_set("size").alias("sizes"))  # `length` numbers at most
+    l = log.select(log_id, F.col(person).alias("p"), F.left(log_text, F.lit(length)).alias("t"), F.col(log_time).alias("at")).join(sizes, "p")
+    l = l.select(log_id, "p", "at", "t", F.explode("sizes").alias("size")).where(F.col("size") <= F.length("t")).withColumn("head", F.substring("t", F.lit(1), F.col("size")))
+    latest = l.groupBy("p", "size", "head").agg(F.max_by(log_id, F.struct("at", log_id)).alias(log_id))
+    return n.join(latest, ["p", "size", "head"]).select(note_id, log_id)

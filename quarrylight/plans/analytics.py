@@ -118,11 +118,16 @@ def person_activity(people: DataFrame, orders: DataFrame, events: DataFrame) ->
 
 
 def retention(events: DataFrame, cutoff: str, salt: str = "pepper") -> DataFrame:
-    """Rows older than the cut-off lose the person's id for a keyed pseudonym; a receipt counts them by day."""
+    """Rows older than the cut-off lose the person's id for a keyed pseudonym; `retention_receipt` counts them."""
     old = F.col("ts") < F.lit(cutoff).cast("timestamp_ntz")
     return events.select("event_id", F.when(~old, F.col("user_id")).alias("user_id"), F.when(old, F.sha2(F.concat(F.lit(salt), F.col("user_id").cast("string")), 256)).alias("pseudonym"))
 
 
+def retention_receipt(events: DataFrame, cutoff: str) -> DataFrame:
+    """What a retention pass changes: rows and people by day."""
+    return events.where(F.col("ts") < F.lit(cutoff).cast("timestamp_ntz")).groupBy(day().alias("day")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("people"))
+
+
 def still_identified(people: DataFrame, *evidence: DataFrame) -> DataFrame:
     """People whom some table still names. evidence: one-column frames of ids."""
     every = evidence[0].toDF("id")
@@ -134,3 +139,35 @@ def still_identified(people: DataFrame, *evidence: DataFrame) -> DataFrame:
 def throttle_wait(failures: Column, base: float = 2.0, most: float = 900.0) -> Column:
     """Seconds to wait after so many failures in a row: base * 2^(n - 1), at most `most`."""
     return F.when(failures <= 0, 0.0).otherwise(F.least(F.lit(most), base * F.pow(F.lit(2.0), failures - 1)))
+
+
+def digest(events: DataFrame, internal: DataFrame) -> DataFrame:
+    """Daily turns, failures and people, without those of internal users. internal: one column of ids."""
+    return events.join(internal.toDF("user_id"), "user_id", "left_anti").groupBy(day().alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("n_errors"), F.count_distinct("user_id").alias("people"))
+
+
+def feedback_by_type(events: DataFrame) -> DataFrame:
+    """Weekly votes by channel, beside all turns of that week and channel."""
+    keys = [week().alias("week"), channel(key_number()).alias("channel")]
+    votes = events.where(F.col("event_type").isin("purchase", "error")).groupBy(*keys).agg(F.count_if(F.col("event_type") == "purchase").alias("positive"), F.count_if(F.col("event_type") == "error").alias("negative"))
+    turns = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return turns.join(votes, ["week", "channel"], "left").select("week", "channel", "n", zero("positive"), zero("negative"))
+
+
+def remapped(value: Column, names: dict[str, str]) -> Column:
+    """Names of an old taxonomy replaced; others stay."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), value), value)
+
+
+def work_state(status: Column, until: Column, due: Column, now: Column, patience: float) -> Column:
+    """What a poll should do with a piece of work: `reclaimable` if its lease ran out, `stuck` if it ran out long ago, `due` if
+    it waits and its time has come (no time: at once), else `wait` or `done`."""
+    late = F.unix_timestamp(now) - F.unix_timestamp(until)
+    return F.when(status == "done", "done").when((status == "running") & (late > patience), "stuck").when((status == "running") & (late > 0), "reclaimable").when((status == "waiting") & (due.isNull() | (due <= now)), "due").otherwise("wait")
+
+
+def classified(answer: Column, allowed: list[int]) -> Column:
+    """A classifier's JSON, strictly: null unless it parses and its category `k` is allowed; a missing flag counts as true."""
+    got = F.from_json(answer, "k bigint, flag boolean")
+    return F.when(got["k"].isin(*allowed), F.struct(got["k"].alias("k"), F.coalesce(got["flag"], F.lit(True)).alias("flag")))

@@ -7,31 +7,15 @@ of documents' lives. Search queries among vectors are the rows whose id is divis
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.operators import corpus, evaluate, fusion, identity, lexical, vector
 from quarrylight.plans import analytics as A
+from quarrylight.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 from quarrylight.session import table
 from quarrylight.streaming import events as S
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 # SQL fragments that queries share
 DAY = "strftime(ts, '%Y-%m-%d')"
 WEEK = "strftime(date_trunc('week', ts), '%Y-%m-%d')"
@@ -151,6 +135,11 @@ def retention_pass(spark, d):
     return A.retention(table(spark, d, "events"), "2024-01-15 00:00:00")
 
 
+@query(f"SELECT {DAY} AS day, count(*) AS n, count(DISTINCT user_id) AS people FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1")
+def retention_receipt(spark, d):
+    return A.retention_receipt(table(spark, d, "events"), "2024-01-15 00:00:00")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT user_id FROM events) OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
 def still_identified(spark, d):
     return A.still_identified(table(spark, d, "customer"), table(spark, d, "events").select("user_id"), table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_custkey")).select("c_custkey")
@@ -166,13 +155,14 @@ def throttle_waits(spark, d):
 
 
 @query(
-    """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn AS note, text FROM conversations WHERE role <> 'user')
-    SELECT conv_id * 100 + note AS note_id, max(turn) AS turn FROM a JOIN u USING (conv_id) WHERE starts_with(u.text, left(a.text, 1)) GROUP BY 1"""
+    f"""WITH l AS (SELECT doc_id, source, text, n_chars FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id AS note_id, source, left(text, 200) AS head FROM documents WHERE length(text) >= 40 AND doc_id % 2 = 0)
+    SELECT note_id, arg_max(doc_id, struct_pack(a := n_chars, i := doc_id)) AS doc_id FROM n JOIN l USING (source) WHERE starts_with(l.text, n.head) GROUP BY 1"""
 )
 def log_feedback_prefix(spark, d):
-    c = table(spark, d, "conversations")
-    notes = c.where("role <> 'user'").select("conv_id", "text", (F.col("conv_id") * 100 + F.col("turn")).alias("note_id"))
-    return identity.matched_by_prefix(notes, c.where("role = 'user'"), "conv_id", "text", "text", "turn", "turn", "note_id", 1)
+    """Which log row of the same source a note of 200 signs was about; the longest row wins."""
+    docs = table(spark, d, "documents").where("text is not null")
+    notes = docs.where("length(text) >= 40 and doc_id % 2 = 0").select("source", F.left("text", F.lit(200)).alias("note"), F.col("doc_id").alias("note_id"))
+    return identity.matched_by_prefix(notes, docs, "source", "note", "text", "n_chars", "doc_id", "note_id", 200)
 
 
 @query("WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), p AS (SELECT user_id, ts AS pts, event_id AS pid FROM events WHERE event_type = 'purchase') SELECT e.event_id, p.pid AS value FROM e ASOF LEFT JOIN p ON e.user_id = p.user_id AND e.ts >= p.pts")
@@ -389,12 +379,13 @@ def rerank_padded(spark, d):
     return fusion.rerank(a, r, 8)
 
 
-@query("WITH c AS (SELECT source, count(*) FILTER (WHERE lower(lang) IN ('es', 'de')) AS n FROM documents GROUP BY 1) SELECT doc_id, source FROM documents JOIN c USING (source) WHERE lower(lang) IN ('es', 'de') OR n < 1")
+@query("WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 9 > 0 THEN source END AS source FROM documents), c AS (SELECT source, count(*) FILTER (WHERE lower(lang) IN ('es', 'de')) AS n FROM d GROUP BY 1) SELECT doc_id, d.source FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source WHERE lower(lang) IN ('es', 'de') OR n < 1")
 def filter_language_failopen(spark, d):
-    return fusion.filter_open(table(spark, d, "documents"), F.lower("lang").isin("es", "de"), "source").select("doc_id", "source")
+    docs = table(spark, d, "documents").withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.col("source")))
+    return fusion.filter_open(docs, F.lower("lang").isin("es", "de"), "source").select("doc_id", "source")
 
 
-@query("WITH c AS (SELECT source, count(*) FILTER (WHERE contains(text, ' | ')) AS n FROM documents GROUP BY 1) SELECT doc_id, source FROM documents JOIN c USING (source) WHERE contains(text, ' | ') OR n < 3")
+@query("WITH c AS (SELECT source, count(*) FILTER (WHERE contains(text, ' | ')) AS n FROM documents GROUP BY 1) SELECT doc_id, d.source FROM documents d JOIN c ON d.source IS NOT DISTINCT FROM c.source WHERE contains(text, ' | ') OR n < 3")
 def filter_model_failopen(spark, d):
     return fusion.filter_open(table(spark, d, "documents"), F.contains("text", F.lit(" | ")), "source", 3).select("doc_id", "source")
 
@@ -433,13 +424,22 @@ def resolve_identity(spark, d):
     return identity.resolve(part.select("p_partkey", key), rules).select("p_partkey", "target", "how")
 
 
+LINKS = "SELECT o_orderkey AS source, CASE WHEN o_orderkey % 64 > 0 THEN o_orderkey - 1 ELSE o_orderkey // 3 END AS target FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderkey % 5 > 0 OR o_orderkey < 200 AND o_orderkey > 1"
+
+
+def _links(spark, d):
+    """Redirects of orders to smaller numbers; the first 200 are one long chain."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").where("o_orderkey % 3 <> 2 and o_orderkey % 5 > 0 or o_orderkey < 200 and o_orderkey > 1")
+    return rows.select(k.alias("source"), F.when(k % 64 > 0, k - 1).otherwise(F.floor(k / 3)).alias("target"))
+
+
 @query(
-    """WITH RECURSIVE l AS (SELECT o_orderkey AS source, o_orderkey // 3 AS target FROM orders WHERE o_orderkey % 3 = 1), w AS (SELECT source, target, 1 AS steps FROM l UNION ALL SELECT w.source, l.target, steps + 1 FROM w JOIN l ON w.target = l.source WHERE steps < 40)
+    f"""WITH RECURSIVE l AS ({LINKS}), w AS (SELECT source, target, 1 AS steps FROM l UNION ALL SELECT w.source, l.target, steps + 1 FROM w JOIN l ON w.target = l.source WHERE steps < 400)
     SELECT source, arg_max(target, steps) AS target, max(steps) AS steps FROM w GROUP BY 1"""
 )
 def redirect_closure(spark, d):
-    links = table(spark, d, "orders").where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias("source"), F.floor(F.col("o_orderkey") / 3).alias("target"))
-    return identity.follow(links)
+    return identity.follow(_links(spark, d))
 
 
 @query(
@@ -608,7 +608,7 @@ def ab_verdict(spark, d):
 
 @query()
 def bootstrap_ci(spark, d):
-    return evaluate.bootstrap_mean(table(spark, d, "events"), "event_type", "value")
+    return evaluate.bootstrap_mean(table(spark, d, "events"), "event_type", "value", "event_id")
 
 
 @query(

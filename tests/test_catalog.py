@@ -2,7 +2,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as driver
-from quarrylight.plans import catalog
+from quarrylight.plans import catalog, retrieval  # noqa: F401
 
 
 @pytest.fixture(scope="module")

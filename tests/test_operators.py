@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.functions.vectors import cosine
-from quarrylight.operators import corpus, evaluate, fusion, identity, vector
+from quarrylight.operators import corpus, evaluate, fusion, identity, passages, vector
 from quarrylight.sources import files
 from quarrylight.streaming import events as S
 
@@ -82,7 +82,7 @@ def test_majority_and_bootstrap(spark):
     v = spark.createDataFrame([("a", "ok")] * 2 + [("a", "bad")] * 2 + [("b", "ok")] * 2 + [("c", "ok")] * 3, "k string, v string")
     assert rows(evaluate.majority(v, "k", "v", ["bad", "ok"]), "k") == [("a", 4, "bad"), ("b", 2, "error"), ("c", 3, "ok")]
     x = np.random.default_rng(1).normal(5, 2, 400)
-    b = evaluate.bootstrap_mean(spark.createDataFrame([("g", float(i)) for i in x], "g string, v double"), "g", "v").collect()[0]
+    b = evaluate.bootstrap_mean(spark.createDataFrame([("g", float(v), i) for i, v in enumerate(x)], "g string, v double, i long"), "g", "v", "i").collect()[0]
     half = 1.96 * x.std() / 20
     assert abs(b["low"] - (x.mean() - half)) < 0.08 and abs(b["high"] - (x.mean() + half)) < 0.08
 
@@ -172,3 +172,48 @@ def test_outbox(spark):
     m = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "key string")
     t = spark.createDataFrame([("a", True), ("b", False)] + [("c", False)] * 5, "key string, ok boolean")
     assert rows(S.outbox(m, t), "key") == [("a", 1, "delivered"), ("b", 1, "due"), ("c", 5, "dead")]
+
+
+def test_long_chains_and_circles(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 70)] + [(100, 101), (101, 102), (102, 100), (99, 100)], "source long, target long")
+    got = {r["source"]: (r["target"], r["steps"]) for r in identity.follow(links).collect()}
+    assert got == {i: (70, 70 - i) for i in range(1, 70)} | {i: (None, None) for i in (99, 100, 101, 102)}
+    fam = {r["node"]: r["family"] for r in identity.families(links, "source", "target").collect()}
+    assert fam == {i: 1 for i in range(1, 71)} | {i: 99 for i in (99, 100, 101, 102)}
+    deep = identity.lineage(links.where("source >= 99"), depth=9).collect()
+    assert sorted((r["source"], r["ancestor"]) for r in deep if r["source"] == 100) == [(100, 101), (100, 102)]
+
+
+def test_null_groups_stay_open(spark):
+    t = spark.createDataFrame([(1, None, "es"), (2, None, "en"), (3, "a", None), (4, "a", "en")], "id int, g string, lang string")
+    assert sorted(r["id"] for r in fusion.filter_open(t, F.col("lang") == "es", "g").collect()) == [1, 3, 4]
+
+
+def test_notes_meet_log_by_beginning(spark):
+    notes = spark.createDataFrame([(1, "p", "a" * 250), (2, "p", "ab"), (3, "q", "x"), (4, "p", None)], "note int, who string, text string")
+    log = spark.createDataFrame([(10, "p", "a" * 200 + "zz", 1), (11, "p", "a" * 200, 2), (12, "p", "abc", 3), (13, "q", "y", 4), (14, "p", None, 5)], "log int, who string, said string, at int")
+    got = identity.matched_by_prefix(notes, log, "who", "text", "said", "at", "log", "note")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 11), (2, 12)]
+
+
+def test_bootstrap_ignores_partitions(spark):
+    t = spark.range(500).selectExpr("id", "'g' AS g", "cast(id % 37 as double) AS v", "cast(id % 37 + 1 as double) AS w")
+    one, two = (evaluate.bootstrap_mean(t.repartition(n), "g", "v", "id").collect() for n in (1, 5))
+    assert one == two and one[0]["low"] < one[0]["mean"] < one[0]["high"]
+    d = evaluate.bootstrap_delta(t, "g", "v", "w", "id").collect()[0]
+    assert (d["mean"], d["low"], d["high"]) == (1.0, 1.0, 1.0)
+
+
+def test_batches_are_greedy(spark):
+    sizes = {"a": [5, 5, 5, 30, 1, 1, 1, 1], "b": [40, 1]}
+    rows = [(g, i, "x" * n) for g, v in sizes.items() for i, n in enumerate(v)]
+    got = passages.batches(spark.createDataFrame(rows, "g string, i int, t string"), "g", "i", "t", 3, 20).orderBy("g", "i").collect()
+    assert [r["batch"] for r in got] == [0, 0, 0, 1, 2, 2, 2, 3, 0, 1]
+
+
+def test_windows_cover_the_text(spark):
+    t = spark.createDataFrame([(1, "abcdefghij"), (2, "ab"), (3, ""), (4, None)], "id int, t string")
+    got = sorted(tuple(r) for r in passages.windows(t, "id", "t", 4, 3).collect())
+    assert got == [(1, 0, 4, "abcd"), (1, 3, 7, "defg"), (1, 6, 10, "ghij"), (2, 0, 2, "ab")]
+    lines = spark.createDataFrame([(1, "ab\n\ncd")], "id int, t string")
+    assert sorted(tuple(r) for r in passages.line_spans(lines, "id", "t").collect()) == [(1, 0, 2, "ab"), (1, 4, 6, "cd")]
