@@ -28,9 +28,9 @@ from quarrylight.llm import textkit
 from quarrylight.llm.common import discard, written
 
 #: Words whose ids are kept in a table that every task holds.
-COMMON = 200_000
+COMMON = 300_000
 #: Text of the documents that share a list of distinct words; a longer document has a list of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 #: Words that are put together at once.
 STEP_WORDS = 400_000
 #: Longer words (bytes) are merged with a heap: the fold's work grows with the square of a word's length.
