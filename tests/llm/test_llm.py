@@ -26,7 +26,7 @@ def docs(sf_dir):
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, clashing column names."""
     rows = [(1, None, None, None), (2, "", "en", "a"), (3, "one", "en", "a"), (3, "one", "en", "a"), (None, "two words", None, "b"), (4, "long " * 30_000 + "end", "en", None), (5, " \n\t ", "fr", "a"), (6, "été là-bas où ça va bien\nMIT License", "fr", "b"), (7, "été là-bas où ça va bien\nMIT License", "de", "c")]
-    names = ["t1", "keys", "range", "n_words", "spans", "id", "rep", "n", "form", "low", "topic", "probability", "n_removed", "lang_pred", "licences"]
+    names = ["_text", "body", "_cut", "_t", "text_hash", "cut_lines", "_source", "_lang", "source_axis", "chance", "t1", "keys", "range", "n_words", "spans", "id", "rep", "n", "form", "low", "topic", "probability", "n_removed", "lang_pred", "licences"]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({n: F.lit(7) for n in names}).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -148,15 +148,14 @@ def test_op4_code_lengths(spark):
     m = langid.train(train)
     counts = {k: defaultdict(Counter) for k in m.langs}
     for text, lang in (("abab", "x"), ("abac", "x"), ("bbbb", "y")):
-        s = [int(m.symbol[10])] * 3 + [int(m.symbol[c]) for c in text.encode()]
+        s = [10] * 3 + list(text.encode())
         for i in range(3, len(s)):
             for o in range(4):
                 counts[lang][tuple(s[i - o : i])][s[i]] += 1
 
     def bits(text, lang):
-        s, total = [int(m.symbol[10])] * 3 + [int(m.symbol[c]) for c in text.encode()], 0.0
+        s, total = [10] * 3 + list(text.encode()), 0.0
         for i in range(3, len(s)):
-            total += m.extra * (s[i] == langid.SYMBOLS - 1)
             for o in (3, 2, 1, 0):
                 c = counts[lang].get(tuple(s[i - o : i]))
                 if not c:
@@ -167,10 +166,10 @@ def test_op4_code_lengths(spark):
                     break
                 total -= np.log2(k / (n + k))
             else:
-                total += np.log2(langid.SYMBOLS)
+                total += 8
         return total
 
-    texts = ["abac", "zb", "bca", "aabb"]
+    texts = ["abac", "zb", "bca", "aabb", "ж漢b", "abab" * 50]
     got = m.bits(*textkit.raw(pa.array(texts)))
     assert np.allclose(got, [[bits(t, k) for k in m.langs] for t in texts], atol=1e-3)
 
