@@ -84,14 +84,18 @@ def _hub_round(members: DataFrame, roots: DataFrame, forms: DataFrame, method: M
     # as many hubs as keys for each id, at most
     chosen = met.groupBy("id").agg(F.min("root").alias("root"), F.mode("hub", True).alias("hub"), F.collect_set(F.struct("hub", "hub_root")).alias("hubs"))
     pairs = chosen.select("id", "root", "hub", F.filter("hubs", lambda x: x["hub"] == F.col("hub"))[0]["hub_root"].alias("hub_root"))
-    texts = pairs.join(forms.toDF("id", "form_a"), "id").join(forms.toDF("hub", "form_b"), "hub").select("root", "hub_root", "form_a", "form_b")
+    pairs = written(pairs, "pairs")
+    hubs = written(pairs.select("hub").distinct(), "hubs")
+    one = forms.toDF("id", "form_a").join(broadcast_if_small(pairs), "id")
+    two = forms.toDF("hub", "form_b").join(broadcast_if_small(hubs), "hub", "left_semi")
+    texts = one.join(two, "hub").select("root", "hub_root", "form_a", "form_b")
     up = written(texts.mapInArrow(_verify(method), "node long, parent long").groupBy("node").agg(F.min("parent").alias("parent")), "parents")
     for _ in range(2):  # parents are less than their nodes, so there are no circles
         above = up.toDF("parent", "above")
         before, up = up, written(up.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent")), "parents")
         discard(before)
     out = written(roots.join(up.toDF("root", "parent"), "root", "left").select("id", F.coalesce("parent", "root").alias("root")), "roots")
-    discard(roots, up)
+    discard(roots, up, pairs, hubs)
     return out
 
 
@@ -199,9 +203,9 @@ def classes(docs: DataFrame, method: Method, doc_id: str = "doc_id", text: str =
     roots = written(candidates.select("id", F.xxhash64("id").alias("root")), "roots")
     roots = _hub_round(members.where(F.col("band") < FIRST_KEYS).withColumn("root", F.xxhash64("id")), roots, forms, method)
     for _ in range(HUB_ROUNDS):
-        roots = _hub_round(members.join(roots, "id"), roots, forms, method)
+        roots = _hub_round(members.join(broadcast_if_small(roots), "id"), roots, forms, method)
     keys = reps.select("id", "keys").join(candidates, "id", "left_semi")
-    links = _block_links(members.join(roots, "id").select("k", "band", "id", "n_words", "root"), keys, forms, method)
+    links = _block_links(members.join(broadcast_if_small(roots), "id").select("k", "band", "id", "n_words", "root"), keys, forms, method)
     named = written(rows.select("doc_id", "t1", "t2").join(reps.select("t1", "t2", "id"), ["t1", "t2"]).select("doc_id", "id"), "named")
     several = written(named.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("doc_id"), "several")
     if several.head(1):  # rows that repeat a doc_id tie their texts together
@@ -211,9 +215,9 @@ def classes(docs: DataFrame, method: Method, doc_id: str = "doc_id", text: str =
     top = components(links, "a", "b")
     labels = written(roots.join(top.toDF("root", "top"), "root", "left").select("id", F.coalesce("top", "root").alias("label")), "labels")
     heads = labels.groupBy("label").agg(F.min("id").alias("class_id"), F.count("*").alias("n")).where("n > 1").select("label", "class_id")
-    moved = labels.join(heads, "label").where("id <> class_id").select("id", "class_id")
-    class_of = named.join(moved, "id", "left").select("doc_id", F.coalesce("class_id", "id").alias("class_id")).where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    moved = written(labels.join(heads, "label").where("id <> class_id").select("id", "class_id"), "moved")
+    class_of = named.join(broadcast_if_small(moved), "id", "left").select("doc_id", F.coalesce("class_id", "id").alias("class_id")).where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     found = written(class_of, "classes")
-    discard(rows, reps, members, candidates, forms, roots, named, several, labels)
+    discard(rows, reps, members, candidates, forms, roots, named, several, labels, moved)
     out = plain.where("doc_id is not null").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     return out.union(plain.where("doc_id is null").select("doc_id", F.col("doc_id").alias("class_id")))
