@@ -28,6 +28,10 @@ MAX_NODES = 1_000_000
 #: Score lies between 0 and 1: posterior of the best language with code lengths spread over this many bytes at most.
 EVIDENCE_BYTES = 64
 UNKNOWN = "und"
+#: Bytes that are counted, and that are scored, at once; what a step holds is about 100 bytes for each in either, however long
+#: the texts are.
+COUNT_STEP = 1 << 20
+SCORE_STEP = 1 << 18
 #: What stands before a text.
 BEGIN = 10
 
@@ -108,11 +112,19 @@ class Model:
         out = np.zeros((len(off) - 1, len(self.langs)))
         if not len(buf):
             return out
-        full = np.flatnonzero(np.diff(off))
-        out[full] = np.add.reduceat(self._cost(_grams(buf, off), ORDER), off[:-1][full], axis=0)
+        gram = _grams(buf, off)
+        for a, part in _steps(off, SCORE_STEP):
+            full = np.flatnonzero(np.diff(part))
+            out[full] += np.add.reduceat(self._cost(gram[a : a + int(part[-1])], ORDER), part[:-1][full], axis=0)
         return out
 
 
+def _steps(off: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Where each `size` bytes begin, and the offsets in them of the texts (those that have no byte there are empty)."""
+    for a in range(0, int(off[-1]), size):
+        yield a, np.clip(off, a, min(a + size, int(off[-1]))) - a
+
+
 def _grams(s: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Code of each byte with the three before it in its own text."""
     gram = s.astype(np.uint32)
@@ -138,19 +150,21 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_nodes: in
     def each_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for piece in textkit.chunks(batch, size=8 << 20):
+            for piece in textkit.chunks(batch):
                 names = piece.column("lang").to_pylist()
                 buf, off = textkit.raw(piece.column("text"))
                 gram = _grams(buf, off)
                 code = {x: i for i, x in enumerate(sorted(set(names)))}
-                owner = np.repeat(np.array([code[x] for x in names], np.int32), np.diff(off))
-                for x, i in code.items():
-                    key, n = np.unique(gram[owner == i], return_counts=True)
-                    old = totals.get(x)
-                    if old is not None:
-                        key, at = np.unique(np.r_[old[0], key], return_inverse=True)
-                        n = np.bincount(at, np.r_[old[1], n]).astype(np.int64)
-                    totals[x] = np.stack([key.astype(np.int64), n])
+                of = np.array([code[x] for x in names], np.int32)
+                for a, part in _steps(off, COUNT_STEP):
+                    owner = np.repeat(of, np.diff(part))
+                    for x, i in code.items():
+                        key, n = np.unique(gram[a : a + len(owner)][owner == i], return_counts=True)
+                        old = totals.get(x)
+                        if old is not None:
+                            key, at = np.unique(np.r_[old[0], key], return_inverse=True)
+                            n = np.bincount(at, np.r_[old[1], n]).astype(np.int64)
+                        totals[x] = np.stack([key.astype(np.int64), n])
         for x, (key, n) in totals.items():
             yield pa.record_batch([pa.array([x] * len(key)), key, n], names=["lang", "gram", "n"])
 
