@@ -142,6 +142,18 @@ def test_op4_held_out_accuracy(spark, docs):
     assert got.score.between(0, 1).all()
 
 
+def test_op4_steps_of_long_texts():
+    """Texts that a step cuts, empty and short ones beside them: as if scored in one piece."""
+    rng = np.random.default_rng(0)
+    size = [5, 0, 2 * langid.SCORE_STEP + 7, 1, langid.SCORE_STEP, 0]
+    buf, off = rng.integers(97, 123, sum(size)).astype(np.uint8), np.r_[0, np.cumsum(size)]
+    seen, n = np.unique(langid._grams(buf[:100_000], np.array([0, 100_000])), return_counts=True)
+    model = langid.Model(["a", "b"], seen, np.stack([n, n - 1], 1).astype(float))
+    each = model._cost(langid._grams(buf, off), langid.ORDER)
+    want = [each[a:b].sum(0) for a, b in zip(off[:-1], off[1:], strict=True)]
+    np.testing.assert_allclose(model.bits(buf, off), want, rtol=1e-9)
+
+
 def test_op4_code_lengths(spark):
     """Against escapes counted one by one."""
     train = spark.createDataFrame([("abab", "x"), ("abac", "x"), ("bbbb", "y")], "text string, lang string")
