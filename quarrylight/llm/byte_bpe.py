@@ -2,7 +2,9 @@
 
 Words are split off by the tokenizer's pattern (vectorised over code points). The merges are a fold of Spark's higher-order
 functions over the byte pieces of distinct words: each step joins the leftmost pair of least rank, found in a literal map of
-ranks, until no pair has a rank. The COMMON commonest words of the corpus are folded once and their ids sent to all tasks (a
+ranks, until no pair has a rank. The map stands in the plan as a scalar subquery over one row, which Spark evaluates once a
+query and hands to the tasks as a literal value: written out in the plan, its 50 000 entries would be in every description of
+the plan that the driver makes. The COMMON commonest words of the corpus are folded once and their ids sent to all tasks (a
 bounded table, which changes no result); every other word is folded once for each run of documents with CHUNK_BYTES of text,
 where it stands, so that nothing is shuffled. Decoding concatenates the binary pieces of the ids.
 """
@@ -21,11 +23,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm import textkit
-from quarrylight.llm.common import discard, written
+from quarrylight.llm.common import discard, fresh, written
 
 #: Words whose ids are kept in a table that every task holds.
 COMMON = 300_000
@@ -36,6 +38,8 @@ STEP_WORDS = 400_000
 #: Longer words (bytes) are merged with a heap: the fold's work grows with the square of a word's length.
 LONG_WORD = 2_000
 BUCKETS = 16_384
+#: Lists that the common words are dealt to for the fold, by hash: about 600 words in each.
+FOLD_LISTS = 512
 _NONE = 2**31 - 1
 #: Unicode white space. Fixed values.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -111,12 +115,20 @@ def _texts(piece: pa.RecordBatch) -> list[str]:
     return [t or "" for t in piece.column("text").to_pylist()]
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
+def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
     """The literal: maps of hexadecimal pieces to ranks, in BUCKETS by the checksum of the piece."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
         buckets[zlib.crc32(piece) % BUCKETS][piece.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+    one_row = spark.createDataFrame([(json.dumps(buckets),)], "ranks string")
+    return one_row.select(F.from_json("ranks", "array<map<string,int>>").alias("ranks")).scalar()
+
+
+def with_ids(df: DataFrame, words: str, name: str, literal: Column) -> DataFrame:
+    """df with the column `name`: bpe_ids of the words. Spark wants a subquery in a column of its own, so a row holds the map
+    (some MB) until it is folded: rows should be few, with many words each."""
+    held = fresh("ranks", df)
+    return df.withColumn(held, literal).withColumn(name, bpe_ids(F.col(words), F.col(held))).drop(held)
 
 
 def bpe_ids(words: Column, literal: Column) -> Column:
@@ -223,17 +235,17 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
     """
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
-    literal = rank_map(ranks)
+    literal = rank_map(spark, ranks)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = written(common_words(plain.select("text"), common), "words")
-    table = found.repartition(spark.sparkContext.defaultParallelism).select("word", F.element_at(bpe_ids(F.array("word"), literal), 1).alias("ids")).toArrow()
+    lists = found.select("word", F.pmod(F.xxhash64("word"), F.lit(FOLD_LISTS)).alias("list")).repartition(spark.sparkContext.defaultParallelism, "list")
+    table = with_ids(lists.groupBy("list").agg(F.collect_list("word").alias("words")), "words", "ids", literal).select("words", "ids").toArrow()
     discard(found)
-    names = table.column("word").to_pylist()
-    ids = table.column("ids").combine_chunks()
+    names, ids = (table.column(c).combine_chunks().flatten() for c in ("words", "ids"))
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    known = spark.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+    known = spark.sparkContext.broadcast({w: i for i, w in enumerate(names.to_pylist())})
     sent = spark.sparkContext.broadcast((_flat(ids), (np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(p) for p in pieces])])))
     long_ranks = spark.sparkContext.broadcast(ranks)
 
@@ -295,8 +307,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
 
     coded = plain.mapInArrow(look_up, "doc_ids array<long>, n_words array<int>, codes binary, rare array<string>")
-    folded = coded.withColumn("rare_ids", bpe_ids(F.col("rare"), literal))
-    return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return with_ids(coded, "rare", "rare_ids", literal).mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
