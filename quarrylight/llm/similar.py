@@ -104,11 +104,26 @@ def _long_enough(method: Method, m: str, n: str) -> Column:
 
 
 def _block_links(members: DataFrame, keys: DataFrame, forms: DataFrame, method: Method) -> DataFrame:
-    """(a, b): links between roots that join all alike members of a key. members: (k, band, id, n_words, root)."""
-    sizes = members.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("n_blocks"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k", "n_blocks")
-    home = members.join(sizes, "k").withColumn("own", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("n_blocks")).cast("int"))
-    spread = home.select("k", "band", "id", "n_words", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    spread = spread.select("k", "band", "id", "n_words", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    """(a, b): links between roots that join all alike members of a key. members: (k, band, id, n_words, root).
+
+    Members of one root need not be compared, so those of a key's most frequent root are dealt to slices and all others to
+    blocks. Each slice meets each block, and each block each other one; a block is compared within itself at the first slice.
+    Mostly one block holds the others, and then the frequent root's members are dealt once only, however many they are.
+    """
+    several = members.groupBy("k").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("k")
+    home = written(members.join(several, "k"), "met")
+    by_root = home.groupBy("k", "root").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    tops = by_root.groupBy("k").agg(F.max(F.struct("n", "w", "root")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    sizes = tops.select("k", F.col("top.root").alias("top"), _blocks(F.col("top.n"), F.col("top.w")).alias("slices"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("blocks"))
+    place = F.xxhash64(F.lit(7), "id")
+    own = F.when(F.col("root") == F.col("top"), -1 - F.pmod(place, F.col("slices"))).otherwise(F.pmod(place, F.col("blocks"))).cast("int")
+    dealt = home.join(sizes, "k").withColumn("own", own)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    in_slice = F.transform(every, lambda b: F.struct(b.alias("i"), F.col("own").alias("j")))
+    slices = F.transform(F.sequence(F.lit(1), F.col("slices")), lambda c: F.struct(F.col("own").alias("i"), (-c).alias("j")))
+    others = F.transform(F.filter(every, lambda b: b != F.col("own")), lambda b: F.struct(F.least("own", b).alias("i"), F.greatest("own", b).alias("j")))
+    spread = dealt.select("k", "band", "id", "n_words", "root", "own", F.explode(F.when(F.col("own") < 0, in_slice).otherwise(F.concat(slices, others))).alias("cell"))
+    spread = spread.select("k", "band", "id", "n_words", "root", "own", "cell.i", "cell.j")
     dealt = spread.join(keys, "id").join(forms, "id").repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,12 +133,18 @@ def _block_links(members: DataFrame, keys: DataFrame, forms: DataFrame, method:
                 if found:
                     yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    links = written(dealt.mapInArrow(run, "a long, b long"), "links")
+    discard(home)
+    return links
+
+
+def _blocks(n: Column, words: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS), F.lit(1)).cast("int")
 
 
 def _links(rows: pa.Table, method: Method) -> list[tuple[int, int]]:
     ids, root, own, n, band = (rows.column(c).to_numpy().copy() for c in ("id", "root", "own", "n_words", "band"))
-    across = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+    across = rows.column("j")[0].as_py() != -1  # only the first slice compares a block within itself
     forms = [np.frombuffer(x.as_buffer(), np.uint32) for c in rows.column("form").chunks for x in c]
     earlier = np.zeros((len(ids), int(band[0])), np.int64)  # keys of the bands before this one
     for x, k in enumerate(k for c in rows.column("keys").chunks for k in c):
