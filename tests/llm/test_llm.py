@@ -431,3 +431,30 @@ def test_pipeline(spark, sf_dir, docs, odd):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, odd.select(*docs.columns), sf_dir).count() >= 0, name
         assert stage(spark, odd.select(*docs.columns).limit(0), sf_dir).count() == 0, name
+
+
+def test_block_links_join_all_alike(spark, monkeypatch):
+    """A frequent root in several slices, the others in several blocks: the links tie the same members as brute force does."""
+    from quarrylight.llm import similar
+
+    root = [100] * 20 + list(range(200, 220))
+    form = [1000 + i for i in range(20)] + [i // 2 for i in range(20, 40)]
+    form[5], form[19] = 15, 11  # two of the frequent root, like 30 and 31 and like 22 and 23
+    want = {tuple(sorted((root[a], root[b]))) for a in range(40) for b in range(a) if form[a] == form[b] and root[a] != root[b]}
+
+    def tied(links):
+        head = {r: r for r in root}
+        for a, b in links:
+            low, high = sorted((head[a], head[b]))
+            head = {r: low if h == high else h for r, h in head.items()}
+        return head
+
+    members = spark.createDataFrame([(1, 0, i, 10, r) for i, r in enumerate(root)], "k long, band int, id long, n_words long, root long")
+    keys = spark.createDataFrame([(i, [7]) for i in range(40)], "id long, keys array<bigint>")
+    forms = spark.createDataFrame([(i, bytearray(np.array([x], np.uint32).tobytes())) for i, x in enumerate(form)], "id long, form binary")
+    method = similar.Method(keys=None, forms=None, alike=lambda a, b: bool(a[0] == b[0]), near=lambda both, others, one: both >= 1, least_length=0.8)
+    for size in (3, 7, 512):
+        monkeypatch.setattr(similar, "BLOCK", size)
+        got = {tuple(sorted(x)) for x in similar._block_links(members, keys, forms, method).collect()}
+        assert got <= want
+        assert tied(got) == tied(want)
