@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from quarrylight.llm import divergence as div
 from quarrylight.llm import line_dedup as lines
 from quarrylight.llm import mixing as mix
+from quarrylight.llm import terms
 
 TRIMMED = "trim(line, ' ' || chr(9) || chr(13))"
 
@@ -63,3 +65,38 @@ def mixing_ctes(docs: str = "documents", out: str = "mixed") -> str:
 
 def mixing() -> str:
     return f"WITH RECURSIVE {mixing_ctes()} SELECT doc_id, topic, n_tokens, round(CAST(probability AS DOUBLE), 6) AS probability, selected FROM mixed"
+
+
+def _terms(text: str, pattern: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{terms.UPPER}', '{terms.LOWER}'), '{pattern}')"
+
+
+def ranked_search(k: int = 20) -> str:
+    own = _terms("text", terms.LETTER_OR_DIGIT_RUN)
+    return f"""
+    WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {own} AS ts FROM documents WHERE doc_id IS NOT NULL),
+    sums AS (SELECT count(*) AS all_docs, CAST(sum(len(ts)) AS BIGINT) AS all_terms FROM texts WHERE len(ts) > 0),
+    asked AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({own}) AS t FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+    postings AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM texts) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+    weights AS (SELECT t, CAST(floor(1000 * ln((2 * all_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, sums GROUP BY t, all_docs),
+    lengths AS (SELECT r, doc_id, 100 - 25 + (25 * len(ts) * all_docs) // all_terms AS m FROM texts, sums WHERE len(ts) > 0),
+    scores AS (SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM postings JOIN weights USING (t) JOIN lengths USING (r) JOIN asked USING (t) GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= {k}"""
+
+
+def divergence() -> str:
+    """Every group gives every kept term of its language a value, absent or not."""
+    p = lambda n, all_: f"1 + ({div.SCALE}::HUGEINT * ({n} + {div.SMOOTHING})) // ({all_} + {div.SMOOTHING} * v)"
+    return f"""
+    WITH texts AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_terms("text", terms.LETTER_RUN)} AS ts FROM documents),
+    used AS (SELECT r, lang, source, unnest(ts) AS term FROM texts),
+    often AS (SELECT lang, term FROM used GROUP BY ALL HAVING count(DISTINCT r) >= {div.LEAST_DOCS}),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM used SEMI JOIN often USING (lang, term) GROUP BY ALL),
+    sources AS (SELECT DISTINCT lang, source FROM texts),
+    dense AS (SELECT s.lang, s.source, o.term, coalesce(c.n, 0) AS n FROM sources s JOIN often o USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+    sums AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS n_all, sum(n) OVER (PARTITION BY lang, term) AS lang_n, sum(n) OVER (PARTITION BY lang) AS lang_all, count(*) OVER (PARTITION BY lang, source) AS v FROM dense),
+    shares AS (SELECT lang, source, term, n, {p("n", "n_all")} AS p, {p("lang_n", "lang_all")} AS q FROM sums),
+    pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(abs(x.p - y.p)), 0) AS value FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source LEFT JOIN shares y ON y.lang = a.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL),
+    parts AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts QUALIFY part = 'pair' OR rank <= {div.TOP}"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import byte_bpe, embedding_dedup, fingerprint, langid, license_scan, line_dedup, mixing, oracles, order_minhash, substring, token_pack
+from quarrylight.llm import block_max, byte_bpe, divergence, embedding_dedup, fingerprint, langid, license_scan, line_dedup, mixing, oracles, order_minhash, substring, token_pack, toxicity
 from quarrylight.llm.common import broadcast_if_small, table, written
 
 
@@ -75,6 +75,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "selected")
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_max.search(block_max.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = toxicity.train(toxicity.sample(docs, labels.where(~held)))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_pack": op1_token_pack,
     "op2_line_dedup": op2_line_dedup,
@@ -86,9 +101,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_mixing": op10_mixing,
+    "op11_block_max": op11_block_max,
+    "op12_toxicity": op12_toxicity,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": oracles.line_dedup(),
     "op10_mixing": oracles.mixing(),
+    "op11_block_max": oracles.ranked_search(),
+    "op13_divergence": oracles.divergence(),
 }
