@@ -52,3 +52,62 @@ def test_hundred_thousand_models():
     began = time.time()
     assert [m for *_, m in mentions.settle(auto.hits(text))] == models[::50]
     assert time.time() - began < 20
+
+
+# stores and retention
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    from quarrylight.sources.store import Store
+
+    return Store(spark, f"file://{tmp_path}/store")
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_store_shows_all_tables_or_none(spark, store):
+    from quarrylight.sources.store import Conflict
+
+    a = lambda x: spark.createDataFrame([(x,)], "v int")
+    assert store.generation() == 0 and store.commit({"a": a(1), "b": a(1)}) == 1
+    staged = store.stage({"a": a(2), "b": a(2)})
+    assert rows_of(store.read("a")) == [(1,)] and rows_of(store.staged(staged, "a")) == [(2,)]
+    with pytest.raises(Exception, match="late"):  # the second of two tables fails
+        store.stage({"a": a(3), "b": a(3).select(F.raise_error(F.lit("late")).cast("int").alias("v"))})
+    assert store.generation() == 1 and rows_of(store.read("b")) == [(1,)]
+    other = store.stage({"b": a(9)})
+    assert store.publish(staged) == 2
+    with pytest.raises(Conflict):
+        store.publish(other)
+    store.discard(other)
+    assert (rows_of(store.read("a")), rows_of(store.read("b")), rows_of(store.read("b", 1))) == ([(2,)], [(2,)], [(1,)])
+    assert store.commit({}, append={"a": a(5)}) == 3 and rows_of(store.read("a")) == [(2,), (5,)]
+    assert len(store.sweep()) >= 2 and rows_of(store.read("a")) == [(2,), (5,)] and rows_of(store.read("b")) == [(2,)]
+
+
+def test_retention_is_one_generation(spark, store):
+    import hashlib
+    import hmac
+
+    from quarrylight.operators import retention
+
+    key = b"k" * 80
+    logs = spark.createDataFrame([(1, 10, "2020-01-01"), (2, 10, "2024-01-01"), (3, 11, "2020-01-01"), (4, None, "2020-01-01"), (5, 12, None)], "id int, person long, at string")
+    votes = spark.createDataFrame([(1, 11, "2020-02-01"), (2, 13, "2020-02-01")], "id int, person long, at string")
+    links = spark.createDataFrame([(1, "2020-01-01"), (2, "2024-01-01"), (3, None)], "id int, at string")
+    people = spark.createDataFrame([(10, "p10"), (11, "p11"), (12, "p12"), (13, "p13"), (14, "p14")], "person long, code string")
+    feedback = spark.createDataFrame([(14,)], "who long")
+    store.commit({"logs": logs, "votes": votes, "links": links, "people": people, "feedback": feedback})
+    rules = retention.Rules(key, {"logs": "at", "votes": "at"}, {"links": "at"}, "people", named=[("feedback", "who")])
+    staged = retention.stage(store, rules, "2022-01-01", "manual")
+    assert store.generation() == 1 and store.read("people").count() == 5  # nothing is seen before the end
+    assert store.publish(staged) == 2
+    code = lambda p: hmac.new(key, str(p).encode(), hashlib.sha256).hexdigest()
+    assert {(r.id, r.person, r.pseudonym) for r in store.read("logs").collect()} == {(1, None, code(10)), (2, 10, None), (3, None, code(11)), (4, None, None), (5, 12, None)}
+    assert rows_of(store.read("links").select("id")) == [(2,), (3,)] and rows_of(store.read("people").select("person")) == [(10,), (12,), (14,)]
+    assert rows_of(store.read("receipts").select("table", "mode", "touched")) == [("links", "deleted", 1), ("logs", "pseudonym", 2), ("people", "mapping", 2), ("votes", "pseudonym", 2)]
+    store.publish(retention.stage(store, rules, "2022-01-01", "cron"))  # a second pass finds nothing, and keeps the pseudonyms
+    assert store.read("logs").where("pseudonym is not null").count() == 2 and rows_of(store.read("receipts").where("origin = 'cron'").select("touched").distinct()) == [(0,)]
