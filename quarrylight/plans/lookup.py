@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import mentions, snapshot, textindex
+from quarrylight.operators import mentions, sections, snapshot, textindex
 from quarrylight.plans import catalog as C
 from quarrylight.plans.registry import query
 from quarrylight.session import new_dir, table
@@ -113,7 +113,7 @@ def index_report(spark, d):
 # that is too long; by the family's number some run in a circle, fork, have two active revisions, a draft or another product
 
 
-FTS = [["version"], ["the", "that"], ["esta"], ["des"]]
+FTS = [["are"], ["que", "est"], ["nicht"], ["version"]]
 BIG = "(doc_id // 60) % 10 = 7"
 REGISTER = f"""dealt AS (SELECT *, CASE WHEN {BIG} THEN 60 ELSE 6 END AS len, CASE WHEN {BIG} THEN doc_id // 60 ELSE doc_id // 6 END AS fam, CASE WHEN {BIG} THEN doc_id % 60 ELSE doc_id % 6 END AS pos FROM documents),
     placed AS (SELECT *, doc_id - pos AS base, CASE WHEN {BIG} THEN 0 ELSE fam % 10 END AS kind FROM dealt),
@@ -179,3 +179,25 @@ def document_snapshot(spark, d):
     chunks = docs.select(me.alias("document_id"), sha.alias("extraction_sha256"), file.alias("source_file"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
     chunks = chunks.select("*", (F.col("document_id") * 100000 + F.col("chunk_index")).alias("id"), F.lit(None).cast("long").alias("duplicate_of"), F.md5("content").alias("content_md5"))
     return snapshot.snapshot(anchors, register, chunks, FTS, candidate_limit=3, payload=("content_md5",))
+
+
+# section paths of a host's pages, one behind the other. The driver's pages have headings of one level; blocks of some lengths
+# count as headings of levels 2 to 4 too
+
+HOST = "https?://([^/]+)"
+
+
+@query(
+    f"""WITH found AS (SELECT page_id, regexp_extract(url, '{HOST}', 1) AS host, regexp_extract_all(html, '{sections.BLOCK}') AS pieces FROM pages),
+    each AS (SELECT page_id, host, unnest(pieces) AS piece, generate_subscripts(pieces, 1) - 1 AS block FROM found),
+    plain AS (SELECT host, page_id, block, trim(regexp_replace(regexp_replace(piece, '<[^>]*>', ' ', 'g'), '[ \n]+', ' ', 'g'), ' ') AS title, piece FROM each),
+    levelled AS (SELECT *, CASE WHEN piece LIKE '<h1%' THEN 1 WHEN length(title) % 5 = 0 THEN 2 + length(title) // 5 % 3 END AS level, row_number() OVER (PARTITION BY host ORDER BY page_id, block) AS i FROM plain),
+    tops AS (SELECT l.host, l.page_id, l.block, h.level, max(h.i) AS i FROM levelled l JOIN levelled h ON h.host = l.host AND h.i <= l.i AND h.level IS NOT NULL GROUP BY ALL),
+    open AS (SELECT t.* FROM tops t WHERE NOT EXISTS (SELECT 1 FROM tops o WHERE o.host = t.host AND o.page_id = t.page_id AND o.block = t.block AND o.level < t.level AND o.i > t.i))
+    SELECT l.host, l.page_id, l.block, coalesce((SELECT string_agg(h.title, ' > ' ORDER BY o.level) FROM open o JOIN levelled h ON h.host = o.host AND h.i = o.i WHERE o.host = l.host AND o.page_id = l.page_id AND o.block = l.block), '') AS path FROM levelled l"""
+)
+def section_paths(spark, d):
+    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", HOST, 1).alias("host"), "html")
+    size = F.length("title")
+    blocks = sections.html_blocks(pages).withColumn("level", F.coalesce("level", F.when(size % 5 == 0, (2 + F.floor(size / 5) % 3).cast("int"))))
+    return sections.section_paths(blocks, "host", ["page_id", "block"], "level", "title").select("host", "page_id", "block", F.array_join("path", " > ").alias("path"))
