@@ -26,7 +26,8 @@ def section_paths(blocks: DataFrame, group: str, position: list[str], level: str
     a group. runs: into how many runs all blocks are cut; by default as many as there are shuffle partitions. Columns of those
     names are replaced."""
     kept = [c for c in blocks.columns if c.lower() not in ("path", "anchors")]
-    run, at, last, seen, carried = (fresh(x, blocks) for x in ("run", "at", "last", "seen", "carried"))
+    run, of_run, at, seen, stack = (fresh(x, blocks) for x in ("run", "of_run", "at", "seen", "stack"))
+    last, carried = ([fresh(f"{x}{n}", blocks) for n in range(LEVELS)] for x in ("last", "carried"))
     rows = blocks.select(*kept)
     spread = (runs, group, *position) if runs else (group, *position)
     rows = written(rows.repartitionByRange(*spread).sortWithinPartitions(group, *position).withColumn(run, F.spark_partition_id()), "runs")  # written, so that the runs stay as they were cut
@@ -36,14 +37,14 @@ def section_paths(blocks: DataFrame, group: str, position: list[str], level: str
     heading = [F.when(depth == n, F.struct(place.alias(at), F.col(title).alias("title"))) for n in range(1, LEVELS + 1)]
 
     # the last heading of each level in each run of a group, and of all runs before it
-    ends = rows.groupBy(run, group).agg(*[F.max(h).alias(f"{last}{n}") for n, h in enumerate(heading)])
+    ends = rows.groupBy(run, group).agg(*[F.max(h).alias(last[n]) for n, h in enumerate(heading)])
     before = Window.partitionBy(group).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)  # a row for each run, not block
-    carry = ends.select(run, F.col(group).alias(seen), *[F.max(f"{last}{n}").over(before).alias(f"{carried}{n}") for n in range(LEVELS)])
+    carry = ends.select(F.col(run).alias(of_run), F.col(group).alias(seen), *[F.max(last[n]).over(before).alias(carried[n]) for n in range(LEVELS)])
     within = Window.partitionBy(run, group).orderBy(*position)  # the blocks of one run
-    here = rows.select("*", *[F.max(h).over(within).alias(f"{last}{n}") for n, h in enumerate(heading)])
-    both = here.join(carry.withColumnRenamed(run, "_" + run), (F.col(run) == F.col("_" + run)) & F.col(group).eqNullSafe(F.col(seen)))
-    newest = [F.coalesce(F.col(f"{last}{n}"), F.col(f"{carried}{n}")) for n in range(LEVELS)]
-    return both.select(*kept, open_headings(newest, at).alias("open")).select(*kept, F.transform("open", lambda h: h["title"]).alias("path"), F.transform("open", lambda h: h[at]).alias("anchors"))
+    here = rows.select("*", *[F.max(h).over(within).alias(last[n]) for n, h in enumerate(heading)])
+    both = here.join(carry, (F.col(run) == F.col(of_run)) & F.col(group).eqNullSafe(F.col(seen)))
+    newest = [F.coalesce(F.col(last[n]), F.col(carried[n])) for n in range(LEVELS)]
+    return both.select(*kept, open_headings(newest, at).alias(stack)).select(*kept, F.transform(stack, lambda h: h["title"]).alias("path"), F.transform(stack, lambda h: h[at]).alias("anchors"))
 
 
 def open_headings(newest: list[Column], at: str) -> Column:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import mentions, sections, snapshot, textindex
+from quarrylight.operators import copies, mentions, sections, snapshot, textindex
 from quarrylight.plans import catalog as C
 from quarrylight.plans.registry import query
 from quarrylight.session import new_dir, table
@@ -201,3 +201,23 @@ def section_paths(spark, d):
     size = F.length("title")
     blocks = sections.html_blocks(pages).withColumn("level", F.coalesce("level", F.when(size % 5 == 0, (2 + F.floor(size / 5) % 3).cast("int"))))
     return sections.section_paths(blocks, "host", ["page_id", "block"], "level", "title").select("host", "page_id", "block", F.array_join("path", " > ").alias("path"))
+
+
+# families of near copies by their least shingles; md5 in the place of crc32, which DuckDB lacks
+
+
+def sql_near_copies(size: int = copies.SKETCH, words: int = copies.SHINGLE_WORDS, least: float = copies.LEAST) -> str:
+    return f"""WITH RECURSIVE split AS (SELECT doc_id, {C.sql_words(C.sql_fold("text"))} AS w FROM documents),
+    hashed AS (SELECT DISTINCT doc_id, CAST('0x' || substr(md5(array_to_string(list_slice(w, i, i + {words - 1}), ' ')), 1, 8) AS BIGINT) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - {words - 2})) AS i FROM split)),
+    sketched AS (SELECT doc_id, list(h ORDER BY h)[1:{size}] AS s FROM hashed GROUP BY 1),
+    met AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, unnest(s) AS h FROM sketched) a JOIN (SELECT doc_id, unnest(s) AS h FROM sketched) b ON a.h = b.h AND a.doc_id < b.doc_id),
+    joined AS (SELECT a, b, list_sort(list_distinct(list_concat(x.s, y.s)))[1:{size}] AS u, list_intersect(x.s, y.s) AS i FROM met JOIN sketched x ON x.doc_id = a JOIN sketched y ON y.doc_id = b),
+    links AS (SELECT a, b FROM joined WHERE len(list_intersect(u, i)) / len(u) >= {least} - 1e-9),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN edges l ON r.other = l.a)
+    SELECT doc_id, min(other) AS family, coalesce(any_value(len(s)), 0) AS n_shingles FROM reach LEFT JOIN sketched USING (doc_id) GROUP BY doc_id"""
+
+
+@query(sql_near_copies())
+def near_copy_families(spark, d):
+    return copies.near_copies(table(spark, d, "documents"), hashed=copies.md5_number)

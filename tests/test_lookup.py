@@ -111,3 +111,120 @@ def test_retention_is_one_generation(spark, store):
     assert rows_of(store.read("receipts").select("table", "mode", "touched")) == [("links", "deleted", 1), ("logs", "pseudonym", 2), ("people", "mapping", 2), ("votes", "pseudonym", 2)]
     store.publish(retention.stage(store, rules, "2022-01-01", "cron"))  # a second pass finds nothing, and keeps the pseudonyms
     assert store.read("logs").where("pseudonym is not null").count() == 2 and rows_of(store.read("receipts").where("origin = 'cron'").select("touched").distinct()) == [(0,)]
+
+
+# the stored text index
+
+
+def test_index_after_updates_equals_a_rebuild(spark, store):
+    from quarrylight.functions import text as T
+    from quarrylight.operators import lexical
+    from quarrylight.operators.textindex import TextIndex
+    from quarrylight.sources.store import Store
+
+    rng = np.random.default_rng(3)
+    names = ["alpha", "beta", "gamma", "delta", "the", "of", "omega", "sigma"]
+    text = lambda: "\n".join(" ".join(rng.choice(names, int(rng.integers(0, 9)))) for _ in range(3))
+    first = [(i, text()) for i in range(60)]
+    changed = [(i, text()) for i in (3, 5, 59, 60, 61)] + [(7, None)]
+    gone = [2, 5, 60]
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    fields = {"title": T.heading(F.col("text")), "body": T.body(F.col("text"))}
+    index = TextIndex(store, {"title": 1.0, "body": 0.4})
+    index.build(frame(first), fields)
+    index.update(frame(changed), fields)
+    index.update(frame([]), fields, removed=frame([(i, "") for i in gone]).select("doc_id"))
+    final = {**dict(first), **dict(changed)}
+    final = [(i, t) for i, t in final.items() if i not in gone]
+    fresh_index = TextIndex(Store(spark, store.folder + "-2"), {"title": 1.0, "body": 0.4})
+    fresh_index.build(frame(final), fields)
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma the delta"), (3, "zeta"), (4, None), (None, "alpha"), (5, "beta beta")], "item_id long, text string")
+
+    def answers(x):
+        return [rows_of(x.match(queries, how)) for how in ("or", "and", "phrase")] + [rows_of(x.bm25(queries, {"title": 3, "body": 1}).na.fill(0)), rows_of(x.report(queries, k=3).na.fill(-1))]
+
+    want = answers(fresh_index)
+    assert answers(index) == want
+    assert index.compact() == 4 and len(store.manifest()["tables"]["postings"]) == 1 and answers(index) == want
+    words_of = lambda t: [re.findall("[a-z0-9]+", part) for part in ((t or "").split("\n", 1) + [""])[:2]]
+    phrase = [("alpha", 0), ("beta", 1)]
+    assert [d for q, d, *_ in want[2] if q == 1] == sorted(i for i, t in final if any(all(at + o < len(w) and w[at + o] == p for p, o in phrase) for w in words_of(t) for at in range(len(w))))
+    gap = sorted(i for i, t in final if any(w[at] == "gamma" and at + 2 < len(w) and w[at + 2] == "delta" for w in words_of(t) for at in range(len(w))))
+    assert [d for q, d, *_ in want[2] if q == 2] == gap  # the stop word between keeps its place
+    plain = lexical.bm25(frame(final), queries, T.tokens(T.body(F.col("text"))), T.tokens(F.col("text")), title_tokens=T.tokens(T.heading(F.col("text"))))
+    assert rows_of(plain.select("item_id", "doc_id", "rank")) == rows_of(fresh_index.bm25(queries, {"title": 3, "body": 1}).select("item_id", "doc_id", "rank"))
+    with pytest.raises(ValueError, match="repeated"):
+        index.update(frame([(1, "a"), (1, "b")]), fields)
+    assert store.generation() == 4
+
+
+# section paths
+
+
+@pytest.mark.parametrize("runs", [1, 4, 13])
+def test_section_paths_are_those_of_one_stack(spark, runs):
+    from quarrylight.operators import sections
+
+    rng = np.random.default_rng(runs)
+    rows = []
+    for host, n in (("a", 300), ("b", 1), ("c", 40), (None, 5)):
+        for i in range(n):
+            level = [None, None, None, 1, 2, 3, 3, 6, 9][int(rng.integers(9))] if i % 50 < 30 else None
+            rows.append((host, i // 7, i % 7, level, f"t{i}", 1))
+    blocks = spark.createDataFrame(rows, "host string, page int, block int, level int, title string, path int").withColumns({c: F.lit(0) for c in ("run", "at", "last0", "seen", "carried1")})
+    want, stacks = {}, {}
+    for host, page, block, level, title, _ in rows:
+        stack = stacks.setdefault(host, [])
+        if level and level <= 6:
+            while stack and stack[-1][0] >= level:
+                stack.pop()
+            stack.append((level, title))
+        want[host, page, block] = [t for _, t in stack]
+    got = sections.section_paths(blocks.repartition(5), "host", ["page", "block"], "level", "title", runs=runs)
+    assert set(got.columns) == {*blocks.columns, "anchors"}
+    assert {(r.host, r.page, r.block): r.path for r in got.collect()} == want
+
+
+# near copies
+
+
+def test_near_copies_against_all_pairs(spark):
+    from quarrylight.operators import copies
+
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(300)]
+    base = [list(rng.choice(names, 60)) for _ in range(6)]
+    texts = []
+    for i in range(120):
+        words = list(base[i % 6])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(60))] = "x" + str(rng.integers(1000))
+        texts.append(" ".join(words))
+    texts += [texts[0], None, "", "one two three", "one two three", *(" ".join(["stop"] * 50 + list(rng.choice(names, 30))) for _ in range(5))]
+    rows = list(enumerate(texts)) + [(None, texts[1]), (3, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("s", "h", "k", "n", "same", "rep", "family")}).repartition(5)
+    for size in (16, 256):
+        ids = {i: sorted({zlib_crc(" ".join(w[j : j + 5])) for j in range(len(w) - 4)})[:size] for i, t in enumerate(texts) for w in [(t or "").split()]}
+        root = {i: i for i in ids}
+
+        def find(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a in ids:
+            for b in ids:
+                if a < b and ids[a] and ids[b]:
+                    union = sorted({*ids[a], *ids[b]})[:size]
+                    if len({*union} & {*ids[a]} & {*ids[b]}) / len(union) >= 0.8:
+                        x, y = sorted((find(a), find(b)))
+                        root[y] = x
+        got = {r.doc_id: r.family for r in copies.near_copies(docs, size=size).collect()}
+        assert got == {i: find(i) for i in ids}
+    assert copies.near_copies(docs.limit(0)).count() == 0
+
+
+def zlib_crc(x):
+    import zlib
+
+    return zlib.crc32(x.encode())
