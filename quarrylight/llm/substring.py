@@ -91,11 +91,11 @@ def _merge(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, n
     return doc[first], a[first], np.maximum.reduceat(b, first)
 
 
-def _reduced(h1, h2, doc, a, b, anchors: bool) -> Iterator[pa.RecordBatch]:
+def _reduced(h1, h2, doc, v, a, b, anchors: bool) -> Iterator[pa.RecordBatch]:
     """Rows of the least document of each (h1, h2); the others' intervals are merged, as REPEAT. With `anchors` rows whose h1 has
     several h2 are UNSURE, and two MARKs stand for them. REPEAT and UNSURE rows have any number for h1, for even shuffles."""
     order = np.lexsort((doc, h2, h1))
-    h1, h2, doc, a, b = h1[order], h2[order], doc[order], a[order], b[order]
+    h1, h2, doc, v, a, b = h1[order], h2[order], doc[order], v[order], a[order], b[order]
     first = np.r_[True, h1[1:] != h1[:-1]]
     head = first | np.r_[True, h2[1:] != h2[:-1]]
     later = doc > doc[np.flatnonzero(head)][np.cumsum(head) - 1]
@@ -107,26 +107,32 @@ def _reduced(h1, h2, doc, a, b, anchors: bool) -> Iterator[pa.RecordBatch]:
         kind[np.repeat(several, np.diff(np.r_[begin, len(h1)])) & ~later] = UNSURE
         mark = np.r_[begin[several], np.r_[begin[1:], len(h1)][several] - 1]
     for some, what in ((kind == PLAIN, PLAIN), (kind == UNSURE, UNSURE), (kind == REPEAT, REPEAT)):
-        d, x, y = doc[some], a[some], b[some]
+        d, u, x, y = doc[some], v[some], a[some], b[some]
         if what != PLAIN:
-            d, x, y = _merge(d, x, y) if what == REPEAT else (d, x, y)
+            if what == REPEAT and u.any():
+                both, code = np.unique(np.stack([d, u], 1), axis=0, return_inverse=True)
+                code, x, y = _merge(code.ravel(), x, y)
+                d, u = both[code].T
+            elif what == REPEAT:
+                d, x, y = _merge(d, x, y)
+                u = np.zeros(len(d), np.int64)
             k1, k2 = textkit.mix(d.astype(np.uint64) * np.uint64(31) + x.astype(np.uint64)).view(np.int64), None
         else:
             k1, k2 = h1[some], h2[some]
-        yield from _rows(k1, k2, d, x, y, what)
-    yield from _rows(h1[mark], h2[mark], doc[mark], a[mark], b[mark], MARK)
+        yield from _rows(k1, k2, d, u, x, y, what)
+    yield from _rows(h1[mark], h2[mark], doc[mark], v[mark], a[mark], b[mark], MARK)
 
 
-def _rows(h1, h2, doc, a, b, what: int) -> Iterator[pa.RecordBatch]:
+def _rows(h1, h2, doc, v, a, b, what: int) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(doc), 200_000):
         k = slice(i, i + 200_000)
         n = len(doc[k])
         second = pa.nulls(n, pa.int64()) if h2 is None else pa.array(h2[k])
-        yield pa.record_batch([pa.array(h1[k]), second, pa.array(doc[k]), pa.array(a[k].astype(np.int32)), pa.array(b[k].astype(np.int32)), pa.array(np.full(n, what, np.int8))], names=["h1", "h2", "doc_id", "a", "b", "kind"])
+        yield pa.record_batch([pa.array(h1[k]), second, pa.array(doc[k]), pa.array(v[k]), pa.array(a[k].astype(np.int32)), pa.array(b[k].astype(np.int32)), pa.array(np.full(n, what, np.int8))], names=["h1", "h2", "doc_id", "v", "a", "b", "kind"])
 
 
 def _buffered(anchors: bool, rows_of):
-    """rows_of(piece): (h1, h2, doc_id, a, b) of a piece of a batch. Reduces BUFFER of them at a time."""
+    """rows_of(piece): (h1, h2, doc_id, v, a, b) of a piece of a batch. Reduces BUFFER of them at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -152,7 +158,7 @@ def _occurrences(window: int):
         at, s, e = r.spans()
         doc = r.doc[at]
         base = w.first[:-1][doc]
-        return r.seed[at].view(np.int64), _passage_hash(w, s, e + window, at).view(np.int64), piece.column("doc_id").to_numpy()[doc], s - base, e + window - base
+        return r.seed[at].view(np.int64), _passage_hash(w, s, e + window, at).view(np.int64), piece.column("doc_id").to_numpy()[doc], piece.column("v").to_numpy()[doc], s - base, e + window - base
 
     return rows_of
 
@@ -171,27 +177,35 @@ def _windows(window: int):
         doc = np.repeat(np.repeat(np.arange(piece.num_rows), n), count)
         start = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
         at = w.first[:-1][doc] + start
-        return one[at].view(np.int64), two[at].view(np.int64), piece.column("doc_id").to_numpy()[doc], start, start + window
+        return one[at].view(np.int64), two[at].view(np.int64), piece.column("doc_id").to_numpy()[doc], piece.column("v").to_numpy()[doc], start, start + window
 
     return rows_of
 
 
-ROW = "h1 long, h2 long, doc_id long, a int, b int, kind byte"
+ROW = "h1 long, h2 long, doc_id long, v long, a int, b int, kind byte"
+
+
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with v: 0, or a hash of the text where rows of several texts have the same doc_id."""
+    t = F.xxhash64("text")
+    several = docs.select("doc_id", t.alias("t")).where("doc_id is not null").groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high")).where("low < high").select("doc_id", F.lit(True).alias("several"))
+    some = written(several, "repeated-ids")
+    return docs.join(broadcast_if_small(some), "doc_id", "left").select("doc_id", "text", F.when(F.col("several"), t).otherwise(0).alias("v"))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, spans): for each document with repeats, word intervals [a, b) whose every window starts in an earlier
-    document too. docs: unique non-null doc_id (long), text without nulls. The intervals may overlap."""
+    """(doc_id, v, spans): for each document with repeats, word intervals [a, b) whose every window starts in an earlier
+    document too. docs: non-null doc_id (long), text without nulls, v as `told_apart` gives it. The intervals may overlap."""
     found = docs.mapInArrow(_buffered(True, _occurrences(window)), ROW)
     anchor, passage = Window.partitionBy("h1"), Window.partitionBy("h1", "h2")
     seen = found.withColumn("least", F.min("doc_id").over(passage)).withColumn("low", F.min("h2").over(anchor)).withColumn("high", F.max("h2").over(anchor))
     again = (F.col("kind") == REPEAT) | ((F.col("kind") == PLAIN) & (F.col("doc_id") > F.col("least")))
     seen = seen.where(f"kind <> {MARK}").withColumn("repeat", again).where(f"repeat or kind = {UNSURE} or low < high")
-    seen = written(seen.select("doc_id", "a", "b", "repeat"), "passages")
-    unsure = written(seen.where("not repeat").groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "unsure")
-    near = docs.join(broadcast_if_small(unsure), "doc_id").mapInArrow(_buffered(False, _windows(window)), ROW)
-    more = near.withColumn("least", F.min("doc_id").over(passage)).where(f"kind = {REPEAT} or doc_id > least").select("doc_id", "a", "b")
-    out = written(seen.where("repeat").select("doc_id", "a", "b").union(more).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
+    seen = written(seen.select("doc_id", "v", "a", "b", "repeat"), "passages")
+    unsure = written(seen.where("not repeat").groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "unsure")
+    near = docs.join(broadcast_if_small(unsure), ["doc_id", "v"]).mapInArrow(_buffered(False, _windows(window)), ROW)
+    more = near.withColumn("least", F.min("doc_id").over(passage)).where(f"kind = {REPEAT} or doc_id > least").select("doc_id", "v", "a", "b")
+    out = written(seen.where("repeat").select("doc_id", "v", "a", "b").union(more).groupBy("doc_id", "v").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "repeats")
     discard(seen, unsure)
     return out
 
@@ -199,11 +213,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, and with keep_text the kept words joined by spaces).
 
-    doc_id should be unique and not null: rows without one are judged as they stand and lose nothing; of rows that repeat
-    one, passages they share with each other stay. Null text has no words; a text shorter than the window loses nothing. No
+    Rows without a doc_id lose nothing. Rows that repeat one are judged each by its own text: what starts in a smaller id goes,
+    what they share with each other stays. Null text has no words; a text shorter than the window loses nothing. No
     rows: no rows. Other columns are ignored, whatever their names.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    plain = told_apart(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
     spans = repeats(plain.where("doc_id is not null"), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,5 +238,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
                 columns = [piece.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests)]
                 yield pa.record_batch(columns + [pa.array(kept_texts, pa.string())] * keep_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep_text])
 
-    joined = plain.join(broadcast_if_small(spans), "doc_id", "left")
+    joined = plain.join(broadcast_if_small(spans), ["doc_id", "v"], "left")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)

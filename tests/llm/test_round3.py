@@ -245,3 +245,34 @@ def test_op13_counts_are_merged_between_chunks(monkeypatch):
                 k = r["lang"], r["term"], r["source"]
                 got[k] = (got.get(k, (0, 0))[0] + r["n"], got.get(k, (0, 0))[1] + r["d"])
         assert got == want
+
+
+# op3: rows of one id and different texts
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_op3_repeated_ids_of_different_texts(spark, parts):
+    import hashlib
+
+    from quarrylight.llm import substring
+
+    rng = np.random.default_rng(7)
+    word = lambda n: [str(x) for x in rng.integers(0, 10**9, n)]
+    passage, other = word(40), word(30)
+    rows = [(1, passage), (5, word(300) + passage), (5, ["only", "three", "words"]), (5, word(405)), (6, word(20) + other + passage), (6, other + word(50)), (6, other + word(50)), (7, word(3) + other), (None, passage), (2, passage[:20]), (2, passage[20:])]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(8, None), (8, "")]
+    starts = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - 12):
+            if i is not None:
+                starts[tuple(w[k : k + 13])] = min(i, starts.get(tuple(w[k : k + 13]), i))
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        gone = {j for k in range(len(w) - 12) if i is not None and starts[tuple(w[k : k + 13])] < i for j in range(k, k + 13)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        want.append((i if i is not None else -1, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("v", "t", "several", "a", "spans")}).repartition(parts)
+    got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want)
