@@ -1,4 +1,4 @@
-"""Event-time windows, ingress de-duplication, leases and quotas as Structured Streaming jobs.
+"""Event-time windows, ingress de-duplication and the outbox; `stateful` has what keeps state of its own.
 
 The window functions take batch and streaming frames alike. Event times of type timestamp_ntz are cast, as watermarks need
 `timestamp`.
@@ -6,12 +6,8 @@ The window functions take batch and streaming frames alike. Event times of type
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def timed(events: DataFrame, late: str | None = None, ts: str = "ts") -> DataFrame:
@@ -43,82 +39,9 @@ def first_seen(updates: DataFrame, keys: list[str], late: str = "1 day") -> Data
     return updates.dropDuplicatesWithinWatermark(keys)
 
 
-LEASE = "conv string, token long, holder string, until double, status string"
-LEASE_OUT = "conv string, at double, request string, holder string, granted boolean, token long, status string"
-
-
-def _lease(ttl: float):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        token, holder, until, status = state.get if state.exists else (0, "", 0.0, "free")
-        rows = pd.concat(list(frames)).sort_values(["at", "seq"], kind="stable")
-        out = []
-        for r in rows.itertuples():
-            alive = status == "running" and r.at < until
-            mine = holder == r.holder and r.token == token
-            if r.request == "claim":
-                ok = status != "done" and not alive
-                if ok:
-                    token, holder, until, status = token + 1, r.holder, r.at + ttl, "running"
-            elif r.request == "heartbeat":
-                ok = alive and mine
-                if ok:
-                    until = r.at + ttl
-            elif r.request in ("complete", "fail"):
-                ok = alive and mine
-                if ok:
-                    status, until = ("done" if r.request == "complete" else "free"), 0.0
-            else:
-                ok = False
-            out.append((key[0], r.at, r.request, r.holder, bool(ok), int(token), status))
-        state.update((int(token), holder, float(until), status))
-        yield pd.DataFrame(out, columns=["conv", "at", "request", "holder", "granted", "token", "status"])
-
-    return step
-
-
-def leases(requests: DataFrame, ttl: float = 30.0) -> DataFrame:
-    """Leases of conversations: of (conv, seq, at, request, holder, token), each request with whether it was granted.
-
-    A claim succeeds if no live lease stands and the work isn't done; it raises the fencing token. Heartbeat, complete and fail
-    need a live lease, its holder and its token. A lease that ran out can be claimed again; its old holder is refused. State is
-    one row for each conversation. Requests with unknown names are refused.
-    """
-    state = "token long, holder string, until double, status string"
-    return requests.groupBy("conv").applyInPandasWithState(_lease(ttl), LEASE_OUT, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def _quota(limit: int):
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (used,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        n = used + pd.Series(range(1, len(rows) + 1), index=rows.index)
-        state.update((int(used + len(rows)),))
-        yield pd.DataFrame({"person": key[0], "day": key[1], "seq": rows["seq"], "allowed": n <= limit})
-
-    return step
-
-
-def daily_quota(requests: DataFrame, limit: int) -> DataFrame:
-    """(person, day, seq) with `allowed`: the first `limit` requests of a person on a day."""
-    return requests.groupBy("person", "day").applyInPandasWithState(_quota(limit), "person string, day string, seq long, allowed boolean", "used long", "append", GroupStateTimeout.NoTimeout)
-
-
 def outbox(messages: DataFrame, attempts: DataFrame, most: int = 5) -> DataFrame:
     """(key, n_attempts, status) of outbox messages, unique by key: delivered, dead after `most` failures, else due."""
     a = attempts.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("ok").cast("int")).alias("ok"))
     j = messages.dropDuplicates(["key"]).join(a, "key", "left")
     n = F.coalesce("n", F.lit(0))
     return j.select("key", n.alias("n_attempts"), F.when(F.col("ok") == 1, "delivered").when(n >= most, "dead").otherwise("due").alias("status"))
-
-
-def classify_new(spark, batch: DataFrame, path: str, classify) -> int:
-    """One pass of an incremental classification for `foreachBatch`: rows without a result yet are classified and appended."""
-    try:
-        seen = spark.read.parquet(path).select("event_id")
-        batch = batch.join(seen, "event_id", "left_anti")
-    except Exception as e:  # the first pass finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    out = classify(batch)
-    out.write.mode("append").parquet(path)
-    return out.count()
