@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import copies, mentions, sections, snapshot, textindex
+from quarrylight.operators import copies, gate, mentions, retention, sections, snapshot, textindex
 from quarrylight.plans import catalog as C
 from quarrylight.plans.registry import query
 from quarrylight.session import new_dir, table
@@ -221,3 +221,59 @@ def sql_near_copies(size: int = copies.SKETCH, words: int = copies.SHINGLE_WORDS
 @query(sql_near_copies())
 def near_copy_families(spark, d):
     return copies.near_copies(table(spark, d, "documents"), hashed=copies.md5_number)
+
+
+# the throttle over a log of failures: each person's events in order, with the state of the gate before each
+
+RULE = gate.Throttle(free=3, base=600.0, most=86_400.0, retention=400_000.0)
+
+
+@query(
+    f"""WITH RECURSIVE tries AS (SELECT CAST(user_id AS VARCHAR) AS zone, event_id AS seq, epoch(ts)::DOUBLE AS secs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    gate AS (SELECT zone, seq, secs, i, 1 AS n, secs AS last, 0.0::DOUBLE AS wait FROM tries WHERE i = 1
+        UNION ALL SELECT zone, seq, secs, i, CASE WHEN w > 0 THEN n WHEN last < secs - {RULE.retention} THEN 1 ELSE n + 1 END, CASE WHEN w > 0 THEN last ELSE secs END, w
+        FROM (SELECT t.zone, t.seq, t.secs, t.i, g.n, g.last, CASE WHEN g.n > {RULE.free} THEN greatest(0.0, g.last - t.secs + least({RULE.base} * pow(2.0, least(g.n - {RULE.free} - 1, 60)), {RULE.most})) ELSE 0.0 END AS w FROM gate g JOIN tries t ON t.zone = g.zone AND t.i = g.i + 1))
+    SELECT zone, seq, round(wait, 3) AS wait FROM gate"""
+)
+def throttle_replay(spark, d):
+    events = table(spark, d, "events")
+    tries = events.select(F.col("user_id").cast("string").alias("zone"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").cast("double").alias("at"), F.array(F.col("user_id").cast("string")).alias("keys"))
+    return gate.replay(tries, RULE).select("zone", "seq", F.round("wait", 3).alias("wait"))
+
+
+# a retention pass over several tables as one generation: events and orders lose the person, events of one kind go, and so do
+# people whom nothing names any more
+
+KEY, CUTOFF = b"pepper", "2024-01-15"
+
+
+def sql_hmac(message: str) -> str:
+    whole = KEY.ljust(retention.HASH_BLOCK, b"\0")
+    pad = lambda p: "unhex('" + bytes(b ^ p for b in whole).hex() + "')"
+    return f"sha256({pad(retention.OUTER)} || unhex(sha256({pad(retention.INNER)} || encode(CAST({message} AS VARCHAR)))))"
+
+
+@query(
+    f"""WITH logs AS (SELECT event_id, ts, user_id AS person FROM events WHERE event_type <> 'click'), links AS (SELECT event_id, ts FROM events WHERE event_type = 'click'), people AS (SELECT c_custkey AS person FROM customer),
+    kept AS (SELECT event_id, CASE WHEN ts >= TIMESTAMP '{CUTOFF}' THEN person END AS person, CASE WHEN ts < TIMESTAMP '{CUTOFF}' AND person IS NOT NULL THEN {sql_hmac("person")} END AS pseudonym FROM logs),
+    named AS (SELECT person FROM kept WHERE person IS NOT NULL UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')
+    SELECT 'logs' AS part, event_id AS id, person, pseudonym AS note FROM kept UNION ALL SELECT 'links', event_id, NULL, NULL FROM links WHERE ts >= TIMESTAMP '{CUTOFF}' UNION ALL SELECT 'people', person, person, NULL FROM people SEMI JOIN named USING (person)
+    UNION ALL SELECT 'receipt', count(*) FILTER (WHERE ts < TIMESTAMP '{CUTOFF}' AND person IS NOT NULL), NULL, 'logs pseudonym' FROM logs UNION ALL SELECT 'receipt', count(*) FILTER (WHERE ts < TIMESTAMP '{CUTOFF}'), NULL, 'links deleted' FROM links UNION ALL SELECT 'receipt', count(*), NULL, 'people mapping' FROM people ANTI JOIN named USING (person)"""
+)
+def retention_generation(spark, d):
+    events = table(spark, d, "events")
+    store = Store(spark, new_dir(spark, "retention"))
+    tables = {
+        "logs": events.where("event_type <> 'click'").select("event_id", "ts", F.col("user_id").alias("person")),
+        "links": events.where("event_type = 'click'").select("event_id", "ts"),
+        "people": table(spark, d, "customer").select(F.col("c_custkey").alias("person")),
+        "orders": table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_custkey"),
+    }
+    store.commit(tables)
+    store.publish(retention.stage(store, retention.Rules(KEY, {"logs": "ts"}, {"links": "ts"}, "people", named=[("orders", "o_custkey")]), CUTOFF, "manual"))
+    none = F.lit(None)
+    logs = store.read("logs").select(F.lit("logs").alias("part"), F.col("event_id").alias("id"), "person", F.col("pseudonym").alias("note"))
+    links = store.read("links").select(F.lit("links"), "event_id", none.cast("long"), none.cast("string"))
+    people = store.read("people").select(F.lit("people"), "person", "person", none.cast("string"))
+    receipts = store.read("receipts").select(F.lit("receipt"), "touched", none.cast("long"), F.concat_ws(" ", "table", "mode"))
+    return logs.union(links).union(people).union(receipts)
