@@ -61,13 +61,33 @@ def document_verdict(pages: DataFrame, group: str, lang: str, wanted: tuple[str,
     return g.select(group, F.coalesce("top.lang", F.lit(wanted[0])).alias("dominant"), F.when((F.col("hit") == 1) | F.col("top").isNull(), "index").otherwise("register_only").alias("verdict"))
 
 
+#: Headings of tables of contents, dot leaders and trailing page numbers. Fixed values.
+CONTENTS = "índice|indice|sommario|sumario|contenidos?|tabla de contenidos?|table of contents|contents"
+CONTENTS_HEADING = r"(?im)^[\s\d.·|#*—-]{0,12}(%s)(?![A-Za-z0-9_])[^\n]{0,40}$" % CONTENTS
+LEADER = r"(?m)(?:\.[ \t]?){4,}[ \t]*([0-9]{1,4})[ \t]*$"
+TRAILING = r"(?:^|[ \t])([0-9]{1,4})[ \t]*$"
+
+
+def rising_share(numbers: Column) -> Column:
+    """Share of the numbers that are no less than the one before; 0 for fewer than two."""
+    n = F.size(numbers)
+    steps = F.zip_with(F.slice(numbers, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(numbers, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda a, b: (a >= b).cast("int"))
+    return F.when(n < 2, 0.0).otherwise(F.aggregate(steps, F.lit(0), lambda s, x: s + x) / (n - 1))
+
+
 def contents_page(text: Column) -> Column:
-    """Whether a page is a table of contents: four lines or more end in dots and a number, and four fifths of these numbers don't
-    fall, with a last number of five or more."""
-    numbers = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?m)\.{3,}\s*([0-9]{1,4})\s*$"), 1), lambda x: x.cast("int"))
-    steps = F.zip_with(F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0))), F.slice(numbers, F.lit(1), F.greatest(F.size(numbers) - 1, F.lit(0))), lambda a, b: (a >= b).cast("int"))
-    rising = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
-    return (F.size(numbers) >= 4) & (rising >= 0.8 * (F.size(numbers) - 1)) & (F.coalesce(F.element_at(numbers, -1), F.lit(0)) >= 5)
+    """Whether a page is a table of contents: four dot leaders or more with numbers; or a heading of contents in the first 300
+    signs, eight lines or more, and numbers at the end of five lines and half of them at least. Four fifths of the numbers
+    must not fall, and the last must be five or more."""
+    t = F.coalesce(text, F.lit(""))
+
+    def ordered(numbers: Column, least: Column) -> Column:
+        return T.let(F.transform(numbers, lambda x: x.cast("int")), lambda ns: (F.size(ns) >= least) & (rising_share(ns) >= 0.8) & (F.coalesce(F.try_element_at(ns, F.lit(-1)), F.lit(0)) >= 5))
+
+    lines = F.filter(F.transform(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\r"))), lambda x: x != "")
+    ends = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, TRAILING, 1)), lambda x: x != "")
+    headed = F.left(t, F.lit(300)).rlike(CONTENTS_HEADING) & (F.size(lines) >= 8) & ordered(ends, F.greatest(F.lit(5), F.floor(F.size(lines) / 2)))
+    return ordered(F.regexp_extract_all(t, F.lit(LEADER), 1), F.lit(4)) | headed
 
 
 def topic_vote(text: Column, topics: dict[str, tuple[str, ...]], least: int = 2, default: str = "general") -> Column:

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.session import fresh
+
 COLUMNS = ("query", "id", "score", "rank")
 
 
@@ -98,12 +100,15 @@ def extend(pool: DataFrame, more: DataFrame, n: int) -> DataFrame:
     return pool.select(*COLUMNS).union(tail)
 
 
-def filter_open(rows: DataFrame, keep: Column, by: str, least: int = 1) -> DataFrame:
+def filter_open(rows: DataFrame, keep: Column, by: str, least: int = 1, unlabelled: Column | None = None) -> DataFrame:
     """Rows that satisfy `keep`; a group in which fewer than `least` rows do stays as it was; null is a group too. A null
-    predicate is not satisfied."""
+    predicate is not satisfied. Rows for which `unlabelled` holds count as satisfying it: what has no label is not hidden."""
     ok = F.coalesce(keep, F.lit(False))
-    counts = rows.groupBy(F.col(by).alias("_by")).agg(F.count_if(ok).alias("_n"))
-    return rows.join(counts, rows[by].eqNullSafe(counts["_by"])).where(ok | (F.col("_n") < least)).drop("_n", "_by")
+    if unlabelled is not None:
+        ok = ok | F.coalesce(unlabelled, F.lit(False))
+    group, n = fresh("group", rows), fresh("n", rows)
+    counts = rows.groupBy(F.col(by).alias(group)).agg(F.count_if(ok).alias(n))
+    return rows.join(counts, rows[by].eqNullSafe(counts[group])).where(ok | (F.col(n) < least)).drop(n, group)
 
 
 def round_robin(rows: DataFrame, query: str, source: str, order: list[Column], k: int, cap: int | None = None) -> DataFrame:

@@ -37,16 +37,18 @@ def follow(links: DataFrame, source: str = "source", target: str = "target") ->
     return now.select(F.col("s").alias(source), F.when(whole, F.col("t")).alias(target), F.when(whole, F.col("n")).alias("steps"))
 
 
-def lineage(links: DataFrame, source: str = "source", target: str = "target", depth: int = 16) -> DataFrame:
-    """(source, ancestor, depth): all that a document replaces, step by step, to `depth` steps; a circle ends where it would
-    come back to its start."""
-    step = links.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where("_s is not null and _t is not null")
-    now = written(step.select(F.col("_s").alias("source"), F.col("_t").alias("ancestor"), F.lit(1).alias("depth")), "lineage")
-    every = now
-    for _ in range(depth - 1):
-        if not now.head(1):
-            break
-        now = written(now.join(step, F.col("ancestor") == F.col("_s")).where("_t <> source").select("source", F.col("_t").alias("ancestor"), (F.col("depth") + 1).alias("depth")), "lineage")
+def lineage(links: DataFrame, source: str = "source", target: str = "target", depth: int | None = None) -> DataFrame:
+    """(source, ancestor, depth): all that a document replaces, directly or by steps, each ancestor once at its least number of
+    steps; with `depth`, no more steps than that. Forks are followed both ways; a document on a circle is not its own ancestor.
+    Each round takes up what the last one found anew, so circles end of themselves."""
+    step = links.select(F.col(source).alias("s"), F.col(target).alias("t")).where("s is not null and t is not null and s <> t").distinct()
+    step = written(step, "steps")
+    now = written(step.select(F.col("s").alias("source"), F.col("t").alias("ancestor"), F.lit(1).alias("depth")), "lineage")
+    every, rounds = now, 1
+    while (depth is None or rounds < depth) and now.head(1):
+        rounds += 1
+        further = now.join(step, F.col("ancestor") == F.col("s")).where("t <> source").select("source", F.col("t").alias("ancestor"), F.lit(rounds).alias("depth")).distinct()
+        now = written(further.join(every.select("source", "ancestor"), ["source", "ancestor"], "left_anti"), "lineage")
         every = every.union(now)
     return every.select(F.col("source").alias(source), "ancestor", "depth")
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 
+#: How far behind a window's overlap the beginning of a line is looked for. Fixed value.
+NEAR = 160
+
 
 def windows(rows: DataFrame, row_id: str, text: str, size: int, stride: int) -> DataFrame:
     """(row_id, start, end, quote): windows of `size` signs at every `stride`, the last one shorter; an empty text has none.
@@ -32,12 +39,59 @@ def exact_windows(rows: DataFrame, row_id: str, text: str, size: int = 360, stri
     return lines.union(windows(rows, row_id, text, size, stride)).dropDuplicates([row_id, "start", "end"])
 
 
-def evidence_units(rows: DataFrame, row_id: str, text: str, size: int = 1200, overlap: int = 300) -> DataFrame:
-    """(row_id, start, end, unit_id): windows that are not blank, with ids that commit to place and content."""
-    w = windows(rows, row_id, text, size, size - overlap).where(F.trim("quote") != "")
-    n = F.row_number().over(Window.partitionBy(row_id).orderBy("start", "end"))
-    digest = F.sha2(F.concat_ws(":", F.col(row_id).cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), F.sha2("quote", 256)), 256)
-    return w.select(row_id, "start", "end", F.concat(F.lit("E"), F.lpad(n.cast("string"), 3, "0"), F.lit("_"), F.left(digest, F.lit(10))).alias("unit_id"))
+def unit_spans(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans of evidence in a text, in order. Windows of `most` signs end behind the last line end or full stop of their second
+    half, and the next one begins `overlap` before that, at a line's beginning if one is near. Paragraphs of half a window or
+    less are spans too, and so are such lines of paragraphs longer than a window."""
+    out, start, n = set(), 0, len(text)
+    while start < n:
+        end = min(n, start + most)
+        if end < n:
+            stops = [(text.rfind(mark, start + most // 2, end), len(mark)) for mark in ("\n", ". ")]
+            at, size = max(stops)
+            end = at + size if at > start else end
+        if text[start:end].strip():
+            out.add((start, end))
+        if end >= n:
+            break
+        start = max(start + 1, end - overlap)
+        line = text.find("\n", start, min(n, start + NEAR))
+        start = line + 1 if line >= 0 else start
+    begun = 0
+    for gap in [*re.finditer(r"\n\s*\n", text), None]:
+        end = gap.start() if gap else n - text.endswith("\n")
+        if text[begun:end].strip():
+            if end - begun <= most // 2:
+                out.add((begun, end))
+            elif end - begun > most:
+                at = begun
+                for line in re.findall(r"[^\n]*\n|[^\n]+", text[begun:end]):
+                    if line.strip() and len(line) <= most // 2:
+                        out.add((at, at + len(line)))
+                    at += len(line)
+            begun = gap.end() if gap else n
+        elif gap and text[:begun].strip():
+            begun = gap.end()
+    return sorted(out)
+
+
+def evidence_units(rows: DataFrame, row_id: str, text: str, size: int = 1200, overlap: int = 300, fragment: int = 1) -> DataFrame:
+    """(row_id, start, end, unit_id): spans of evidence with ids that commit to the fragment, place and content. Null and blank
+    texts have none."""
+    if size < 400 or not 0 <= overlap < size // 2:
+        raise ValueError("a window has 400 signs or more and overlaps by less than its half")
+    ready = rows.select(F.col(row_id).alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": a, "end": z} for a, z in unit_spans(t, size, overlap)] for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("row"), batch.column("text"), pa.array(spans, kind)], names=["row", "text", "spans"])
+
+    found = ready.mapInArrow(run, ready.withColumn("spans", F.array().cast("array<struct<start: int, end: int>>")).schema)
+    each = found.select("row", "text", F.posexplode("spans").alias("i", "s")).select("row", "i", "s.start", "s.end", F.sha2(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")), 256).alias("digest"))
+    identity = F.sha2(F.concat_ws(":", F.lit(fragment), F.col("row").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"), "digest"), 256)
+    return each.select(F.col("row").alias(row_id), "start", "end", F.concat(F.lit("E"), F.format_string("%03d", F.col("i") + 1), F.lit("_"), F.left(identity, F.lit(10))).alias("unit_id"))
 
 
 def best_window(rows: DataFrame, row_id: str, text: str, terms: str, size: int = 800, stride: int = 400) -> DataFrame:

@@ -379,10 +379,17 @@ def rerank_padded(spark, d):
     return fusion.rerank(a, r, 8)
 
 
-@query("WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 9 > 0 THEN source END AS source FROM documents), c AS (SELECT source, count(*) FILTER (WHERE lower(lang) IN ('es', 'de')) AS n FROM d GROUP BY 1) SELECT doc_id, d.source FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source WHERE lower(lang) IN ('es', 'de') OR n < 1")
+#: Some documents lose their language label, and one source keeps documents of other languages only.
+LABELLED = "SELECT doc_id, CASE WHEN doc_id % 7 > 0 THEN lang END AS lang, CASE WHEN lower(lang) IN ('fr', 'en') AND doc_id % 5 = 0 AND doc_id % 7 > 0 THEN 'foreign' WHEN doc_id % 9 > 0 THEN source END AS source FROM documents"
+SERVED = "coalesce(lower(lang) IN ('es', 'de'), trim(coalesce(lang, '')) = '')"
+
+
+@query(f"WITH d AS ({LABELLED}), c AS (SELECT source, count(*) FILTER (WHERE {SERVED}) AS n FROM d GROUP BY 1) SELECT doc_id, d.source FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source WHERE {SERVED} OR n < 1")
 def filter_language_failopen(spark, d):
-    docs = table(spark, d, "documents").withColumn("source", F.when(F.col("doc_id") % 9 > 0, F.col("source")))
-    return fusion.filter_open(docs, F.lower("lang").isin("es", "de"), "source").select("doc_id", "source")
+    docs = table(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.col("lang")))
+    foreign = F.lower("lang").isin("fr", "en") & (F.col("doc_id") % 5 == 0)
+    docs = docs.withColumn("source", F.when(foreign, "foreign").when(F.col("doc_id") % 9 > 0, F.col("source")))
+    return fusion.filter_open(docs, F.lower("lang").isin("es", "de"), "source", unlabelled=F.btrim(F.coalesce("lang", F.lit(""))) == "").select("doc_id", "source")
 
 
 @query("WITH c AS (SELECT source, count(*) FILTER (WHERE contains(text, ' | ')) AS n FROM documents GROUP BY 1) SELECT doc_id, d.source FROM documents d JOIN c ON d.source IS NOT DISTINCT FROM c.source WHERE contains(text, ' | ') OR n < 3")

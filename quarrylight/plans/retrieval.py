@@ -147,9 +147,16 @@ def link_families(spark, d):
     return identity.families(C._links(spark, d), "source", "target")
 
 
-@query(f"WITH RECURSIVE l AS ({C.LINKS}), w AS (SELECT source, target AS ancestor, 1 AS depth FROM l UNION ALL SELECT w.source, l.target, depth + 1 FROM w JOIN l ON w.ancestor = l.source WHERE depth < 6) SELECT source, ancestor, depth FROM w")
+#: Forks and circles besides the redirects: of some orders two above, which lead back, and of some half their number.
+BACK = "SELECT o_orderkey AS source, o_orderkey + 2 AS target FROM orders WHERE o_orderkey % 101 = 0 UNION ALL SELECT o_orderkey // 2, o_orderkey FROM orders WHERE o_orderkey % 97 = 0"
+
+
+@query(f"WITH RECURSIVE l AS ({C.LINKS} UNION ALL {BACK}), w AS (SELECT source, target AS ancestor, 1 AS depth FROM l UNION ALL SELECT w.source, l.target, depth + 1 FROM w JOIN l ON w.ancestor = l.source WHERE depth < 12) SELECT source, ancestor, min(depth) AS depth FROM w WHERE source <> ancestor GROUP BY 1, 2")
 def revision_lineage(spark, d):
-    return identity.lineage(C._links(spark, d), depth=6)
+    k = F.col("o_orderkey")
+    orders = table(spark, d, "orders")
+    back = orders.where(k % 101 == 0).select(k.alias("source"), (k + 2).alias("target")).union(orders.where(k % 97 == 0).select(F.floor(k / 2), k))
+    return identity.lineage(C._links(spark, d).union(back), depth=12)
 
 
 @query(
@@ -229,8 +236,26 @@ def exact_windows(spark, d):
     return w.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"), F.min(F.md5("quote")).alias("least"))
 
 
+def sql_unit_spans(most: int = 1200, overlap: int = 300) -> str:
+    """CTEs that end in spans (doc_id, s, e, quote): windows by recursion, paragraphs between blank lines, lines of long ones."""
+    half = most // 2
+    stop = f"""SELECT doc_id, t, n, s, CASE WHEN tent < n AND greatest(line, dot) > s THEN greatest(line + 1, dot + 2) ELSE tent END AS e
+        FROM (SELECT *, CASE WHEN instr(back, chr(10)) > 0 THEN s + {half} + len(seg) - instr(back, chr(10)) ELSE -9 END AS line, CASE WHEN instr(back, ' .') > 0 THEN s + {half} + len(seg) - instr(back, ' .') - 1 ELSE -9 END AS dot
+        FROM (SELECT *, reverse(seg) AS back FROM (SELECT doc_id, t, n, s, least(n, s + {most}) AS tent, substr(t, s + {half} + 1, greatest(least(n, s + {most}) - s - {half}, 0)) AS seg FROM (%s))))"""
+    begun = f"SELECT doc_id, t, n, CASE WHEN instr(near, chr(10)) > 0 THEN nxt + instr(near, chr(10)) ELSE nxt END AS s FROM (SELECT *, substr(t, nxt + 1, least(n, nxt + {passages.NEAR}) - nxt) AS near FROM (SELECT doc_id, t, n, greatest(s + 1, e - {overlap}) AS nxt FROM win WHERE e < n))"
+    return f"""win AS ({stop % "SELECT doc_id, text AS t, length(text) AS n, CAST(0 AS BIGINT) AS s FROM documents WHERE length(text) > 0"} UNION ALL {stop % begun}),
+    marked AS (SELECT doc_id, string_split(regexp_replace(text, '(\\n\\s*\\n)', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS ps, text, length(text) AS n FROM documents WHERE length(text) > 0),
+    piece AS (SELECT doc_id, n, text, unnest(ps) AS p, generate_subscripts(ps, 1) AS i, len(ps) AS k FROM marked),
+    placed AS (SELECT *, coalesce(sum(length(replace(p, chr(2), ''))) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, lag(trim(p, ' ' || chr(9) || chr(10) || chr(13))) OVER (PARTITION BY doc_id ORDER BY i) AS last FROM piece),
+    para AS (SELECT doc_id, text, CASE WHEN i = 2 AND last = '' THEN 0 ELSE off + greatest(instr(p, chr(2)) - 1, 0) END AS s, CASE WHEN i = k AND text LIKE '%' || chr(10) THEN n - 1 ELSE off + length(replace(p, chr(2), '')) END AS e FROM placed),
+    paras AS (SELECT doc_id, text, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e, substr(text, CAST(s AS BIGINT) + 1, CAST(e - s AS BIGINT)) AS quote FROM para),
+    lined AS (SELECT doc_id, s, e, unnest(string_split(quote, chr(10))) AS l, generate_subscripts(string_split(quote, chr(10)), 1) AS i, len(string_split(quote, chr(10))) AS k FROM paras WHERE e - s > {most}),
+    lines AS (SELECT doc_id, s + coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id, s ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, length(l) + CASE WHEN i < k THEN 1 ELSE 0 END AS len, l FROM lined),
+    spans AS (SELECT doc_id, s, e FROM win WHERE regexp_matches(substr(t, s + 1, e - s), '\\S') UNION SELECT doc_id, s, e FROM paras WHERE e - s <= {half} AND regexp_matches(quote, '\\S') UNION SELECT doc_id, CAST(s AS BIGINT), CAST(s + len AS BIGINT) FROM lines WHERE len <= {half} AND regexp_matches(l, '\\S'))"""
+
+
 @query(
-    f"""WITH f AS (SELECT * FROM ({SPANS.format(size=1200, stride=900)}) WHERE trim(quote) <> '') SELECT doc_id, s AS start, e AS "end", 'E' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s, e) AS VARCHAR), 3, '0') || '_' || left(sha256(concat_ws(':', doc_id, s, e, sha256(quote))), 10) AS unit_id FROM f"""
+    f"""WITH RECURSIVE {sql_unit_spans()} SELECT doc_id, s AS start, e AS "end", 'E' || printf('%03d', row_number() OVER (PARTITION BY doc_id ORDER BY s, e)) || '_' || left(sha256(concat_ws(':', 1, doc_id, s, e, sha256(substr(text, s + 1, e - s)))), 10) AS unit_id FROM spans JOIN documents USING (doc_id)"""
 )
 def evidence_units(spark, d):
     return passages.evidence_units(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
@@ -400,3 +425,21 @@ def answer_verdicts(spark, d):
 def bootstrap_delta_ci(spark, d):
     e = table(spark, d, "events").withColumn("k", A.key_number())
     return evaluate.bootstrap_delta(e, "event_type", "k", "value", "event_id")
+
+
+# tables of contents: documents as they are, and the same with numbers or dot leaders at the ends of their lines, under a heading
+
+TOC = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN regexp_replace(text, '[ ,.]+', ' ..... 12 ' || chr(10), 'g') WHEN 2 THEN 'Table of contents' || chr(10) || regexp_replace(text, '[ ,.]+', ' 7' || chr(10), 'g') WHEN 3 THEN 'Contents page' || chr(10) || regexp_replace(text, '[ ,.]+', ' 3' || chr(10), 'g') ELSE 'Índice' || chr(10) || text END AS text FROM documents"""
+
+
+@query(
+    f"""WITH t AS ({TOC}), l AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '(?m)(?:[.][ \\t]?){{4,}}[ \\t]*([0-9]{{1,4}})[ \\t]*$', 1), lambda x: CAST(x AS INTEGER)) AS dots, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS lines FROM t),
+    e AS (SELECT *, list_transform(list_filter(list_transform(lines, lambda x: regexp_extract(x, '(?:^|[ \\t])([0-9]{{1,4}})[ \\t]*$', 1)), lambda x: x <> ''), lambda x: CAST(x AS INTEGER)) AS ends FROM l),
+    r AS (SELECT *, len(list_filter(range(2, len(dots) + 1), lambda i: dots[i] >= dots[i - 1])) AS up_dots, len(list_filter(range(2, len(ends) + 1), lambda i: ends[i] >= ends[i - 1])) AS up_ends FROM e)
+    SELECT doc_id, len(dots) >= 4 AND up_dots >= 0.8 * (len(dots) - 1) AND dots[-1] >= 5 OR regexp_matches(left(text, 300), '(?im)^[\\s\\d.·|#*—-]{{0,12}}({corpus.CONTENTS})\\b[^\\n]{{0,40}}$') AND len(lines) >= 8 AND len(ends) >= greatest(5, len(lines) // 2) AND up_ends >= 0.8 * (len(ends) - 1) AND ends[-1] >= 5 AS contents FROM r"""
+)
+def contents_pages(spark, d):
+    t, by, n = F.col("text"), F.col("doc_id") % 5, F.when
+    lines = lambda end: F.regexp_replace(t, "[ ,.]+", f" {end}\n")
+    text = n(by == 0, t).when(by == 1, F.regexp_replace(t, "[ ,.]+", " ..... 12 \n")).when(by == 2, F.concat(F.lit("Table of contents\n"), lines("7"))).when(by == 3, F.concat(F.lit("Contents page\n"), lines("3"))).otherwise(F.concat(F.lit("Índice\n"), t))
+    return table(spark, d, "documents").select("doc_id", corpus.contents_page(text).alias("contents"))
