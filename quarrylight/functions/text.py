@@ -33,10 +33,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
 
 
-def shingles(items: Column, n: int) -> Column:
-    """The distinct runs of n items, joined by a space; fewer items than n are one run."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
-    return F.array_distinct(let(items, runs))
+def shingle_hashes(items: Column, n: int) -> Column:
+    """64-bit hashes of the runs of n items, repeats too; fewer items than n are one run. No string is built for a run."""
+    return let(items, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(n)))))
 
 
 def heading(text: Column) -> Column:

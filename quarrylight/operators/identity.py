@@ -118,6 +118,15 @@ def violations(checks: dict[str, DataFrame], sealed: DataFrame | None = None) ->
     return every if sealed is None else every.join(sealed, ["invariant", "subject"], "left_anti")
 
 
+def census(checks: dict[str, DataFrame], sealed: DataFrame) -> DataFrame:
+    """(invariant, subject, state): `new` for what breaks an invariant and is not sealed, `sealed` for what is, `resolved` for
+    sealed exceptions that break nothing any more. The seal is stale if there are any of the last."""
+    now = violations(checks).withColumn("now", F.lit(True))
+    before = sealed.select("invariant", F.col("subject").cast("string").alias("subject")).distinct().withColumn("before", F.lit(True))
+    state = F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "resolved").otherwise("sealed")
+    return now.join(before, ["invariant", "subject"], "full").select("invariant", "subject", state.alias("state"))
+
+
 def orphans(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Keys of rows that no parent has."""
     return rows.select(F.col(key).alias("k")).join(parents.select(F.col(parent_key).alias("k")), "k", "left_anti").distinct()

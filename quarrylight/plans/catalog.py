@@ -283,7 +283,7 @@ def sql_shingles(c: str) -> str:
     SELECT item_id, doc_id, n_common, round(n_common / (nq + nd - n_common), 6) AS jaccard, round(n_common / nq, 6) AS containment FROM b"""
 )
 def shingle_containment(spark, d):
-    s = T.shingles(T.words(F.col("text")), 5)
+    s = T.shingle_hashes(T.words(F.col("text")), 5)
     return lexical.overlap(table(spark, d, "documents"), table(spark, d, "benchmark"), s, s)
 
 
@@ -549,11 +549,6 @@ def chunk_document(spark, d):
     return corpus.chunk(table(spark, d, "documents"))
 
 
-@query()
-def numeric_claims(spark, d):
-    return corpus.numeric_claims(table(spark, d, "documents"), ("kg", "cm", "mm", "km", "m", "V", "W", "A", "%"))
-
-
 @query("SELECT doc_id, regexp_matches(rtrim(text), '\\?[\"'')\\]»]*$') AS question FROM documents")
 def question_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", T.is_question(F.col("text")).alias("question"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -66,6 +66,11 @@ def updated(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return j.select(*[F.coalesce(f"_{x}", x).alias(x) if f"_{x}" in c.columns else F.col(x) for x in old.columns])
 
 
+def deleted(old: DataFrame, where: Column) -> DataFrame:
+    """old without the rows that satisfy `where`; rows for which it is null stay."""
+    return old.where(~F.coalesce(where, F.lit(False)))
+
+
 def replace_documents(spark: SparkSession, rows: DataFrame, path: str, partition: str) -> None:
     """Idempotent reload: the partitions that rows has are replaced, others stay."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
