@@ -20,21 +20,24 @@ def resolve(mentions: DataFrame, rules: list[tuple[str, DataFrame]], key: str =
 
 
 def follow(links: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """(source, target, steps): where each redirect ends. Steps double each round, until no row changes or only circles are
-    left; a chain that runs into a circle ends at null. links: one target for each source."""
+    """(source, target, steps): where each redirect ends. Steps double each round for the redirects that have not ended yet, until
+    all have or only circles are left; a chain that runs into a circle ends at null. links: one target for each source. What
+    has ended is put aside, looked up by the others and not written again."""
     first = links.select(F.col(source).alias("s"), F.col(target).alias("t"), F.lit(1).cast("long").alias("n")).where("s is not null and t is not null")
-    now = written(first, "redirects")
-    n_links, reach = now.count(), 1
-    while True:
-        nxt = now.select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"))
-        joined = now.join(nxt, "t", "left").select("s", F.coalesce("t2", "t").alias("t"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"), F.col("t2").isNotNull().alias("open"))
-        before, now, reach = now, written(joined, "redirects"), 2 * reach
-        discard(before)
-        # once a round began with more steps than there are links, what goes on has come round
-        if reach > 2 * n_links or not now.where("open").head(1):
-            break
-    whole = ~F.col("open")
-    return now.select(F.col("s").alias(source), F.when(whole, F.col("t")).alias(target), F.when(whole, F.col("n")).alias("steps"))
+    first = written(first, "redirects")
+    goes_on = first.select(F.col("s").alias("t"), F.lit(True).alias("on"))
+    now = written(first.join(goes_on, "t", "left").select("s", "t", "n", F.col("on").isNull().alias("done")), "redirects")
+    n_links, reach, ended, kept = now.count(), 1, now.where("done"), [first, now]
+    open_ = now.where("not done")
+    # once a round began with more steps than there are links, what goes on has come round
+    while reach <= 2 * n_links and open_.head(1):
+        known = ended.union(open_).select(F.col("s").alias("t"), F.col("t").alias("t2"), F.col("n").alias("n2"), "done")
+        now = written(open_.select("s", "t", "n").join(known, "t").select("s", F.col("t2").alias("t"), (F.col("n") + F.col("n2")).alias("n"), "done"), "redirects")
+        kept.append(now)
+        ended, open_, reach = ended.union(now.where("done")), now.where("not done"), 2 * reach
+    out = written(ended.select("s", "t", "n").union(open_.select("s", F.lit(None).cast(first.schema["t"].dataType), F.lit(None).cast("long"))), "ends")
+    discard(*kept)
+    return out.select(F.col("s").alias(source), F.col("t").alias(target), F.col("n").alias("steps"))
 
 
 def lineage(links: DataFrame, source: str = "source", target: str = "target", depth: int | None = None) -> DataFrame:
