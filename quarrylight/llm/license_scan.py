@@ -2,8 +2,9 @@
 
 A sparse logistic regression over word 1- to 3-grams tells the families of licence notices, and text that is none. It is
 trained here: on variations of the templates below and on a bounded sample of the corpus's own paragraphs that share no
-3-gram with a template. A temperature fitted on a held-out quarter calibrates its probabilities. A licence-like paragraph
-whose best family is not probable enough, or whose words do not agree with a template of that family, is `unknown`.
+3-gram with a template. A temperature fitted on a held-out quarter calibrates its probabilities. A paragraph whose best family is not
+probable enough, or whose words do not agree with a template of that family, is `unknown` if that class's own calibrated
+probability, or a partial agreement with some template, makes it a licence at all.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.llm import textkit
+from quarrylight.llm.common import fresh
 
 #: Short notices of licence families. Fixed values.
 TEMPLATES = {
@@ -25,26 +27,35 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License",
+        "Apache License Version 2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "The MIT License (MIT)",
+        "Licensed under MIT",
     ],
     "bsd": [
         "Distributed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "BSD License",
+        "BSD 3-Clause License",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License",
     ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "Mozilla Public License",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
@@ -80,6 +91,21 @@ FOREIGN = [
     "Released under the zlib license.",
     "This library is licensed under the Common Development and Distribution License.",
 ]
+#: Sentences that use the words of notices in other senses: they are no licences. Fixed values.
+ORDINARY = [
+    "He forgot his driving licence at home and had to walk.",
+    "The fishing license costs more for visitors than for people from the village.",
+    "They argued about the rights of workers in the old factory.",
+    "The restaurant got its license to serve wine last spring.",
+    "Women won the right to vote and fought for equal rights.",
+    "The copyright office is on the second floor of the building.",
+    "A licensed electrician came to look at the house.",
+    "You may use the kitchen free of charge until noon.",
+    "The general public was asked to keep out of the source of the river.",
+    "Her pilot licence was renewed without any conditions.",
+    "The law grants permission to build under certain terms.",
+    "Version two of the story was distributed to the class.",
+]
 NONE, UNKNOWN = "none", "unknown"
 FEATURES = 1 << 17
 #: Variations of each template; paragraphs of the corpus in the training sample at most, from so many documents at most.
@@ -90,6 +116,10 @@ WINDOW = 48
 #: Least share of the words of some template that a confirmed paragraph has in common with it (3-grams; both directions).
 AGREEMENT = 0.5
 CONFIDENT = 0.7
+#: What makes a paragraph that no template confirms a licence of an unknown family: so much calibrated probability of that
+#: class, or so large a share in common with some template.
+UNKNOWN_LEAST = 0.6
+RELATED = 0.25
 _BYTE = np.full(256, 0x20, np.uint8)
 _BYTE[0x80:] = np.arange(0x80, 0x100)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -156,7 +186,7 @@ def _words(text: str) -> list[str]:
 def _variations(seed: int = 9) -> tuple[list[str], list[str]]:
     rng = np.random.default_rng(seed)
     texts, labels = [], []
-    for label, templates in [*TEMPLATES.items(), (UNKNOWN, FOREIGN)]:
+    for label, templates in [*TEMPLATES.items(), (UNKNOWN, FOREIGN), (NONE, ORDINARY)]:
         for t in templates:
             words = _words(t)
             for v in range(VARIATIONS):
@@ -269,7 +299,7 @@ def decide(model: Model, w: textkit.Words, buf: bytes, a: np.ndarray, b: np.ndar
         sure = p[u, best] >= CONFIDENT * licensed[u] and agreement(words, model.classes[best]) >= AGREEMENT
         if sure:
             kind[u] = best
-        elif max(agreement(words, f) for f in TEMPLATES) >= 0.25 or any(agreement_words(words)):
+        elif p[u, 1] >= UNKNOWN_LEAST or max(agreement(words, f) for f in TEMPLATES) >= RELATED:
             kind[u] = 1
     # a window that holds a part of a notice that the next or the last window confirms says nothing of its own
     overlap = np.r_[False, a[1:] < b[:-1]]
@@ -278,27 +308,23 @@ def decide(model: Model, w: textkit.Words, buf: bytes, a: np.ndarray, b: np.ndar
     return kind, licensed
 
 
-def agreement_words(words: list[str]) -> list[bool]:
-    """Whether the words hold a cue without which nothing counts as a licence."""
-    return [x in {"license", "licence", "licensed", "licenses", "copyright", "spdx", "rights"} for x in words]
-
-
 def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with licences (array of struct family, n, score, by family), n_units and n_licence_units.
 
     Null and blank texts have no units. Every line of every whole text is classified. Rows that repeat a doc_id are scanned
     each on its own. Columns of docs with those names are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("licences", "n_units", "n_licence_units", "_text")]
-    ready = docs.select(*kept, F.col(text).cast("string").alias("_text"))
+    kept = [c for c in docs.columns if c not in ("licences", "n_units", "n_licence_units")]
+    body = fresh("body", docs)
+    ready = docs.select(*kept, F.col(text).cast("string").alias(body))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("family", pa.string()), ("n", pa.int64()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
-            for piece in textkit.chunks(batch, "_text", 1 << 20):
-                w, doc, a, b = units(piece.column("_text"))
+            for piece in textkit.chunks(batch, body, 1 << 20):
+                w, doc, a, b = units(piece.column(body))
                 found, score = decide(m, w, w.buf.tobytes(), a, b)
                 out: list[dict[str, list]] = [{} for _ in range(piece.num_rows)]
                 for u in np.flatnonzero(found).tolist():
@@ -311,5 +337,5 @@ def scan(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(rows, kind), pa.array(total), pa.array(hits)], names=[*kept, "licences", "n_units", "n_licence_units"])
 
     found = T.ArrayType(T.StructType().add("family", "string").add("n", "long").add("score", "double"))
-    fields = T.StructType(ready.drop("_text").schema.fields).add("licences", found).add("n_units", "long").add("n_licence_units", "long")
+    fields = T.StructType(ready.drop(body).schema.fields).add("licences", found).add("n_units", "long").add("n_licence_units", "long")
     return ready.mapInArrow(run, fields)

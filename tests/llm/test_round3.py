@@ -276,3 +276,22 @@ def test_op3_repeated_ids_of_different_texts(spark, parts):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("v", "t", "several", "a", "spans")}).repartition(parts)
     got = [(-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.remove_repeats(docs).collect()]
     assert sorted(got) == sorted(want)
+
+
+# op5: short headers, and words of notices in other senses
+
+
+def test_op5_headers_and_ordinary_sentences(spark, sf_dir):
+    from quarrylight.llm import license_scan
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = license_scan.train(license_scan.sample(docs))
+    want = {
+        "MIT License": "mit", "The MIT License (MIT)": "mit", "Licensed under MIT": "mit", "Apache License": "apache-2.0", "BSD License": "bsd", "Mozilla Public License": "mpl-2.0",
+        "This atlas is licensed under the Quux Share License, version 9.": "unknown", "Released under the Frobnicate License.": "unknown",
+        "She lost her driving license in the flood and got her rights back.": "", "Copyright law is taught on Mondays.": "", "A licensed plumber has the right to enter.": "",
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string").withColumn("_text", F.lit("stays")).withColumn("body", F.lit(1))
+    got = license_scan.scan(rows, model).orderBy("doc_id").collect()
+    assert {t: ",".join(x["family"] for x in r["licences"]) for t, r in zip(want, got, strict=True)} == want
+    assert all(r["_text"] == "stays" and r["body"] == 1 for r in got)
