@@ -63,7 +63,7 @@ def document_verdict(pages: DataFrame, group: str, lang: str, wanted: tuple[str,
 
 #: Headings of tables of contents, dot leaders and trailing page numbers. Fixed values.
 CONTENTS = "índice|indice|sommario|sumario|contenidos?|tabla de contenidos?|table of contents|contents"
-CONTENTS_HEADING = r"(?im)^[\s\d.·|#*—-]{0,12}(%s)(?![A-Za-z0-9_])[^\n]{0,40}$" % CONTENTS
+CONTENTS_HEADING = r"(?imu)^[\s\d.·|#*—-]{0,12}(%s)(?![A-Za-z0-9_])[^\n]{0,40}$" % CONTENTS
 LEADER = r"(?m)(?:\.[ \t]?){4,}[ \t]*([0-9]{1,4})[ \t]*$"
 TRAILING = r"(?:^|[ \t])([0-9]{1,4})[ \t]*$"
 

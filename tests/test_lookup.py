@@ -228,3 +228,62 @@ def zlib_crc(x):
     import zlib
 
     return zlib.crc32(x.encode())
+
+
+# what was wrong in round 2
+
+
+def test_lineage_ends_on_circles(spark):
+    from quarrylight.operators import identity
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 4), (5, 6), (5, 7), (7, 6), (None, 1), (8, None)], "source int, target int")
+    got = sorted(tuple(r) for r in identity.lineage(links).collect())
+    assert got == [(1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 2, 1), (5, 6, 1), (5, 7, 1), (7, 6, 1)]
+    chain = spark.range(1, 21).select(F.col("id").alias("source"), (F.col("id") - 1).alias("target"))
+    assert identity.lineage(chain).agg(F.max("depth")).first()[0] == 20  # no depth is cut off
+    assert identity.lineage(chain, depth=3).agg(F.max("depth")).first()[0] == 3
+    ends = {r.source: (r.target, r.steps) for r in identity.follow(spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 5), (5, 6), (6, 7), (9, 9)], "source int, target int")).collect()}
+    assert ends == {1: (None, None), 2: (None, None), 3: (None, None), 4: (7, 3), 5: (7, 2), 6: (7, 1), 9: (None, None)}
+
+
+def test_contents_pages(spark):
+    from quarrylight.operators import corpus
+
+    lines = lambda ns, dots="": "\n".join(f"Chapter {chr(65 + i)} {dots} {n}" for i, n in enumerate(ns))
+    cases = {lines([1, 3, 5, 9], "....."): True, lines([1, 3, 5], "....."): False, lines([9, 7, 5, 1], "....."): False, lines([1, 2, 3, 4], "....."): False, "Índice\n" + lines(range(1, 9)): True, "Sommario\n" + lines(range(1, 4)): False, "Contention\n" + lines(range(1, 9)): False, lines(range(1, 9)): False, "": False}
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    assert [r[0] for r in df.orderBy("i").select(corpus.contents_page(F.col("t"))).collect()] == list(cases.values())
+    assert spark.sql("select cast(null as string) t").select(corpus.contents_page(F.col("t"))).first()[0] is False
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab. \n", max_size=400))
+def test_unit_spans_cover_the_text(text):
+    from quarrylight.operators.passages import unit_spans
+
+    spans = unit_spans(text, 40, 10)
+    assert spans == sorted(set(spans)) and all(0 <= a < z <= len(text) and z - a <= 40 and text[a:z].strip() for a, z in spans)
+    covered = {i for a, z in spans for i in range(a, z)}
+    assert all(i in covered for i, c in enumerate(text) if c not in " \n")
+
+
+def test_unlabelled_rows_are_kept(spark):
+    from quarrylight.operators import fusion
+
+    rows = spark.createDataFrame([(1, "es", "a"), (2, "fr", "a"), (3, None, "a"), (4, "pt", "b"), (5, "fr", "b"), (6, "fr", None)], "id int, language string, by string").withColumns({"n": F.lit(1), "group": F.lit(2)})
+    got = fusion.filter_open(rows, F.col("language").isin("es", "en"), "by", unlabelled=F.col("language").isNull())
+    assert sorted(r.id for r in got.collect()) == [1, 3, 4, 5, 6] and set(got.columns) == set(rows.columns)
+
+
+def test_citations_and_prefix(spark):
+    from quarrylight.operators import serving
+
+    chunks = spark.createDataFrame([(1, 1, "A.pdf"), (1, 2, "B (2).pdf"), (2, 1, "A.pdf"), (2, 2, None), (3, 1, "zzz.pdf")], "answer_id int, number long, source_file string")
+    answers = spark.createDataFrame([(1, "x [F2] yy [F1][F2] [F7]"), (2, "see a, [F9]"), (3, "nothing"), (4, None)], "answer_id int, answer string")
+    assert rows_of(serving.cited(answers, chunks)) == [(1, 1, 1, 10), (1, 2, 2, 2), (2, 1, 1, 4)]
+    row = lambda xs: spark.createDataFrame(xs, "query int, place int, id int, row string")
+    base = [(q, p, p, f"r{p}") for q in range(1, 7) for p in (1, 2)]
+    served = [(1, 1, 1, "r1"), (1, 2, 2, "r2"), (1, 3, 9, "n"), (2, 1, 1, "r1"), (3, 1, 1, "r1"), (3, 2, 2, "other"), (4, 1, 1, "r1"), (4, 2, 2, "r2"), (4, 3, 1, "r1"), *[(5, p, p, f"r{p}") for p in range(1, 8)], (6, 1, 1, "r1"), (6, 2, 2, "r2"), (6, 3, None, "n")]
+    verdicts, lists = serving.protected(row(base), row(served))
+    assert {r.query: r.verdict for r in verdicts.collect()} == {1: "ok", 2: "removed", 3: "changed", 4: "repeated", 5: "overflow", 6: "repeated"}
+    assert rows_of(lists.where("query in (1, 2)")) == [(1, 1, 1), (1, 2, 2), (1, 3, 9), (2, 1, 1), (2, 2, 2)]
