@@ -114,3 +114,52 @@ def legend(answers: DataFrame, chunks: DataFrame, header: str, more: str, unknow
     listed = rows.groupBy(answer_id).agg(F.sort_array(F.collect_list(F.struct("number", line.alias("line")))).alias("lines"), F.max("n_all").alias("n_all"))  # `most` lines
     rest = F.when(F.col("n_all") > most, F.format_string(more, F.col("n_all") - most))
     return listed.select(answer_id, F.concat_ws("\n", F.lit(header), F.transform("lines", lambda x: x["line"]), rest).alias("legend"))
+
+
+#: Weights of the best uncovered need, the base score, alignment, facets, new facets and the place in the pool; what likeness to a
+#: row picked before takes off; a need counts as covered from here on. Fixed values.
+WEIGHTS = (0.35, 0.35, 0.15, 0.05, 0.05, 0.05)
+REDUNDANCY, COVERED = 0.12, 0.8
+
+
+def pick_complements(pool: DataFrame, picked: int = 2, pool_limit: int = 64, common_facet: str = "query_alignment") -> DataFrame:
+    """(query, id, place, score): rows of a pool picked one after another, each for what the ones before leave uncovered.
+
+    pool: query, id, pool_rank (from 0), base, hits (aligned terms), facets (array<string>), needs (array<double>, one score for
+    each need of the query). A row's worth is the weighted sum of its best score among uncovered needs, base, hits (10 at most),
+    facets (3 at most, without the common one), facets not yet covered (2 at most) and place, less REDUNDANCY times the largest
+    cosine of its needs with those of a picked row. Ties: best need, base, new facets, hits, place, then the larger id as a
+    string. A pick covers its facets and every need it scores COVERED on, or else the open need it scores best on. A pool is a
+    result list, so its rows meet in one window."""
+    left = pool.select("query", "id", "pool_rank", "base", "hits", F.array_distinct("facets").alias("facets"), "needs")
+    left = left.withColumns({"open": F.sequence(F.lit(0), F.greatest(F.size("needs") - 1, F.lit(0))), "seen": F.array().cast("array<string>"), "past": F.array().cast("array<array<double>>")})
+    left = left.withColumn("open", F.when(F.size("needs") > 0, F.col("open")).otherwise(F.array().cast("array<int>")))
+    out = None
+    for place in range(1, picked + 1):
+        best = F.coalesce(F.array_max(F.transform("open", lambda i: F.get("needs", i))), F.array_max("needs"), F.lit(0.0))
+        gain = F.size(F.array_except("facets", "seen"))
+        prior = 1.0 - F.least(F.col("pool_rank"), F.lit(pool_limit - 1)) / F.lit(float(pool_limit))
+        signal = F.size(F.array_except("facets", F.array(F.lit(common_facet))))
+        parts = (best, F.col("base"), F.least(F.col("hits"), F.lit(10)) / 10.0, F.least(signal, F.lit(3)) / 3.0, F.least(gain, F.lit(2)) / 2.0, prior)
+        worth = sum((w * x for w, x in zip(WEIGHTS[1:], parts[1:], strict=True)), WEIGHTS[0] * parts[0])
+        alike = F.coalesce(F.array_max(F.transform("past", lambda p: _cosine(F.col("needs"), p))), F.lit(0.0))
+        rated = left.withColumns({"score": F.round(worth - REDUNDANCY * alike, 8), "best": best, "gain": gain})
+        order = [F.desc("score"), F.desc("best"), F.desc("base"), F.desc("gain"), F.desc("hits"), F.asc("pool_rank"), F.desc(F.col("id").cast("string"))]
+        ranked = rated.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+        first = ranked.where("n = 1").select("query", "id", F.lit(place).alias("place"), "score")
+        out = first if out is None else out.union(first)
+        winner = F.max(F.when(F.col("n") == 1, F.struct("facets", "needs"))).over(Window.partitionBy("query"))
+        rest = ranked.withColumn("winner", winner).where("n > 1")
+        got = F.col("winner.needs")
+        strong = F.filter("open", lambda i: F.get(got, i) >= COVERED)
+        weakest_open = F.transform("open", lambda i: F.struct(F.get(got, i).alias("s"), (-i).alias("i")))
+        done = F.when(F.size(strong) > 0, strong).when(F.size("open") > 0, F.array(-F.array_max(weakest_open)["i"])).otherwise(F.array().cast("array<int>"))
+        left = rest.select("query", "id", "pool_rank", "base", "hits", "facets", "needs", F.array_except("open", done).alias("open"), F.array_union("seen", "winner.facets").alias("seen"), F.concat("past", F.array(got)).alias("past"))
+    return out
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    """0 for an array without length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, dot(a, b) / size).otherwise(0.0)

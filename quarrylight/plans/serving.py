@@ -188,3 +188,32 @@ def numeric_claims(spark, d):
     for a, b in CLAIMS:
         t = F.regexp_replace(t, a, b)
     return corpus.numeric_claims(table(spark, d, "documents").select("doc_id", t.alias("text")), UNITS)
+
+
+# complements of a result list: two documents of each source's first 64, with scores of three needs and facets from their words
+
+FACET_WORDS = ("the", "des", "nicht", "que", "version")
+POOL = f"""pool AS (SELECT source AS query, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pool_rank, n_chars % 100 / 100.0::DOUBLE AS base, doc_id % 13 AS hits,
+    list_filter([{", ".join(f"CASE WHEN contains(text, '{w}') THEN '{w}' END" for w in FACET_WORDS)}, 'query_alignment'], lambda x: x IS NOT NULL) AS facets, [n_chars % 10 / 10.0::DOUBLE, doc_id % 7 / 6.0::DOUBLE, n_chars % 9 / 8.0::DOUBLE] AS needs FROM documents WHERE source IS NOT NULL QUALIFY pool_rank < 64)"""
+
+
+def sql_rated(of: str, best: str, gain: str, alike: str) -> str:
+    w = serving.WEIGHTS
+    worth = f"{w[0]} * {best} + {w[1]} * base + {w[2]} * (least(hits, 10) / 10.0::DOUBLE) + {w[3]} * (least(len(facets) - 1, 3) / 3.0::DOUBLE) + {w[4]} * (least({gain}, 2) / 2.0::DOUBLE) + {w[5]} * (1.0 - pool_rank / 64.0::DOUBLE) - {serving.REDUNDANCY} * {alike}"
+    return f"SELECT *, round(({worth})::DOUBLE, 8) AS score FROM {of} QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(({worth})::DOUBLE, 8) DESC, {best} DESC, base DESC, {gain} DESC, hits DESC, pool_rank, CAST(id AS VARCHAR) DESC) = 1"
+
+
+@query(
+    f"""WITH {POOL}, one AS ({sql_rated("pool", "list_max(needs)", "len(facets)", "0")}),
+    state AS (SELECT query, id AS first, facets AS seen, needs AS past, CASE WHEN list_max(needs) >= {serving.COVERED} THEN list_filter([1, 2, 3], lambda i: needs[i] < {serving.COVERED}) ELSE list_filter([1, 2, 3], lambda i: i <> list_position(needs, list_max(needs))) END AS open FROM one),
+    rest AS (SELECT p.*, coalesce(list_max(list_transform(open, lambda i: p.needs[i])), list_max(p.needs)) AS best, len(list_filter(p.facets, lambda f: NOT list_contains(seen, f))) AS gain,
+        CASE WHEN list_dot_product(p.needs, p.needs) > 0 AND list_dot_product(past, past) > 0 THEN list_dot_product(p.needs, past) / (sqrt(list_dot_product(p.needs, p.needs)) * sqrt(list_dot_product(past, past))) ELSE 0.0 END AS alike FROM pool p JOIN state USING (query) WHERE p.id <> first)
+    SELECT query, id, 1 AS place, score FROM one UNION ALL SELECT query, id, 2, score FROM ({sql_rated("rest", "best", "gain", "alike")})"""
+)
+def complement_selection(spark, d):
+    n, i, t = F.col("n_chars"), F.col("doc_id"), F.col("text")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    facets = F.filter(F.array(*[F.when(F.contains(t, F.lit(w)), w) for w in FACET_WORDS], F.lit("query_alignment")), lambda x: x.isNotNull())
+    rows = table(spark, d, "documents").where("source is not null").withColumn("pool_rank", place).where("pool_rank < 64")
+    pool = rows.select(F.col("source").alias("query"), i.alias("id"), "pool_rank", (n % 100 / 100.0).alias("base"), (i % 13).alias("hits"), facets.alias("facets"), F.array(n % 10 / 10.0, i % 7 / 6.0, n % 9 / 8.0).alias("needs"))
+    return serving.pick_complements(pool)
