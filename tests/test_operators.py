@@ -125,13 +125,6 @@ def test_generations(spark, tmp_path):
     assert g.active() == fine and g.read().count() == 2 and g.read(chained).count() == 3
 
 
-def _stream(spark, tmp_path, batches, schema):
-    src = tmp_path / "src"
-    for i, b in enumerate(batches):
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").json(str(src / f"b{i}"))
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(str(src))
-
-
 def _drain(df, tmp_path, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", "file://" + str(tmp_path / f"ck_{name}")).trigger(availableNow=True).start()
     q.awaitTermination(120)
