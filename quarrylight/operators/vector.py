@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from quarrylight.functions.vectors import cosine
+from pyspark.sql.types import StructType
 
 #: Queries that one pass over the rows scores at once; a larger query set takes more passes.
 QUERY_BLOCK = 2048
+#: Vectors of a group in a block of pairs, on average, and how many of them one product takes at once.
+BLOCK = 2048
+STRIPE = 256
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0.5, row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", where: Column | None = None, same: str | None = None) -> DataFrame:
@@ -78,12 +81,71 @@ def keep_max_by_parent(hits: DataFrame, parent: Column, query_id: str = "query_i
 
 
 def pairs_in_groups(rows: DataFrame, group: str, threshold: float, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(group, a, b, similarity): pairs of one group with cosine at or above the threshold, a < b. The join is on the group, so
-    a group should be a product or a document, not the corpus."""
-    a = rows.select(F.col(group), F.col(row_id).alias("a"), F.col(vector).alias("va"))
-    b = rows.select(F.col(group), F.col(row_id).alias("b"), F.col(vector).alias("vb"))
-    s = F.round(cosine(F.col("va"), F.col("vb")), 6)
-    return a.join(b, group).where("a < b").select(group, "a", "b", s.alias("similarity")).where(F.col("similarity") >= threshold)
+    """(group, a, b, similarity): pairs of one group with cosine at or above the threshold, a < b; cosine as in `functions.vectors`,
+    rounded to 6 places.
+
+    A group is dealt in blocks of about BLOCK vectors, each pair of blocks a piece of work of its own: a product of matrices in
+    double precision, of which only the pairs found leave the task. The work grows with the square of a group, what is shuffled
+    with its size times its number of blocks.
+    """
+    sound = F.col(group).isNotNull() & F.col(row_id).isNotNull() & ~F.exists(vector, lambda x: x.isNull())
+    ready = rows.where(sound).select(F.col(group).alias("g"), F.col(row_id).alias("id"), F.col(vector).alias("v"), F.size(vector).alias("dim"))
+    large = ready.groupBy("g", "dim").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks")).where("n_blocks > 1")
+    # `large` has less than a row for every BLOCK vectors
+    blocks = ready.join(F.broadcast(large), ["g", "dim"], "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1)))
+    blocks = blocks.withColumn("own", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    spread = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    spread = spread.select("g", "id", "v", "dim", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    # with the number of tasks named, adaptive execution doesn't join pieces of few bytes and much work
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = spread.repartition(tasks, "g", "dim", "i", "j").sortWithinPartitions("g", "dim", "i", "j", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _runs(batches, ("g", "dim", "i", "j")):
+            ids, own = t.column("id").to_numpy(), t.column("own").to_numpy()
+            m = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+            across = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+            half = int((own == own[0]).sum()) if across else 0
+            if across and half == len(ids):
+                continue  # the other block is empty
+            with np.errstate(all="ignore"):
+                length = np.sqrt(np.einsum("nd,nd->n", m, m))
+                left, right = (np.arange(half), np.arange(half, len(ids))) if across else (np.arange(len(ids)),) * 2
+                for a in range(0, len(left), STRIPE):
+                    some = left[a : a + STRIPE]
+                    scale = length[some, None] * length[None, right]
+                    s = np.divide(m[some] @ m[right].T, scale, out=np.zeros_like(scale), where=scale != 0)
+                    x, y = np.nonzero(~(s < threshold - 1e-6))  # the last place is Spark's to round
+                    p, q, s = ids[some[x]], ids[right[y]], s[x, y]
+                    once = p != q if across else p < q
+                    p, q, s = p[once], q[once], s[once]
+                    yield pa.record_batch([t.column("g").combine_chunks().take(pa.array(np.zeros(len(p), np.int64))), pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.array(s)], names=["g", "a", "b", "s"])
+
+    kind, key = ready.schema["id"].dataType, ready.schema["g"].dataType
+    found = dealt.mapInArrow(run, StructType().add("g", key).add("a", kind).add("b", kind).add("s", "double"))
+    return found.select(F.col("g").alias(group), "a", "b", F.round("s", 6).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Runs of rows that agree in the columns `by`, from batches in that order; one at a time."""
+    held, key = [], None
+    for batch in batches:
+        columns = [batch.column(c) for c in by]
+        change = np.zeros(max(0, batch.num_rows - 1), bool)
+        for c in columns:
+            change |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        cut = np.flatnonzero(change) + 1
+        for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, batch.num_rows].tolist(), strict=True):
+            if a == b:
+                continue
+            now = tuple(c[a].as_py() for c in columns)
+            if held and now != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = now
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def greedy_dedup(rows: DataFrame, group: str, threshold: float = 0.94, row_id: str = "vec_id", vector: str = "embedding", prefer: Column | None = None) -> DataFrame:

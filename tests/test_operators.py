@@ -193,3 +193,21 @@ def test_windows_cover_the_text(spark):
     assert got == [(1, 0, 4, "abcd"), (1, 3, 7, "defg"), (1, 6, 10, "ghij"), (2, 0, 2, "ab")]
     lines = spark.createDataFrame([(1, "ab\n\ncd")], "id int, t string")
     assert sorted(tuple(r) for r in passages.line_spans(lines, "id", "t").collect()) == [(1, 0, 2, "ab"), (1, 4, 6, "cd")]
+
+
+def test_pairs_in_groups_block_by_block(spark, monkeypatch):
+    """The same pairs, each once, however a group is cut; odd vectors as in the join of a group with itself."""
+    rng = np.random.default_rng(4)
+    sound = [(i, "x" if i % 3 else "y", [float(np.float32(c)) for c in rng.normal(size=4)]) for i in range(60)]
+    odd = [(60, "x", None), (61, "x", [0.0] * 4), (62, "x", [1.0, None, 0.0, 0.0]), (63, "x", [1.0, 1.0]), (64, "x", [2.0, 2.0]), (65, None, [1.0] * 4), (None, "x", [1.0] * 4), (1, "x", [1.0] * 4), (66, "x", [float("nan")] * 4)]
+    rows = spark.createDataFrame(sound + odd, "vec_id long, label string, embedding array<float>")
+    a, b = (rows.select("label", F.col("vec_id").alias(n), F.col("embedding").alias("v" + n)) for n in "ab")
+    plain = a.join(b, "label").where("a < b").select("label", "a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("similarity")).where("similarity >= 0.35")
+    want = sorted(map(str, plain.collect()))
+    for block, stripe in ((5, 3), (7, 100), (2048, 256)):
+        monkeypatch.setattr(vector, "BLOCK", block)
+        monkeypatch.setattr(vector, "STRIPE", stripe)
+        found = vector.pairs_in_groups(rows, "label", 0.35)
+        assert sorted(map(str, found.collect())) == want and len(want) > 100
+        # no join of a group with itself
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
