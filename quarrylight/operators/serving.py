@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import lexical, predicates
 from quarrylight.operators.lexical import K1, B
+from quarrylight.session import written
 
 #: Marks of citations, entries of a legend, signs of a link, rows that coverage may append. Fixed values.
 CITATION = r"\[F([0-9]+)\]"
@@ -79,7 +80,8 @@ def cited(answers: DataFrame, chunks: DataFrame, answer_id: str = "answer_id") -
     before = lambda xs, extra: F.aggregate(F.transform(xs, lambda x: F.length(x) + extra), F.lit(0), lambda s, x: s + x)
     at = before(F.slice("pieces", F.lit(1), F.col("i") + 1), 0) + before(F.slice("all", F.lit(1), F.col("i")), 3)
     found = each.select(answer_id, F.col("digits").try_cast("long").alias("number"), at.alias("at")).join(size, answer_id).where(F.col("number").between(1, F.col("n_chunks")))
-    direct = found.groupBy(answer_id, "number").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # written: both sides of the union below would lie by answer, and Spark 4.1 fails to line such a union up in later joins
+    direct = written(found.groupBy(answer_id, "number").agg(F.count("*").alias("n"), F.min("at").alias("first")), "cited")
     named = chunks.join(answers.join(direct.select(answer_id).distinct(), answer_id, "left_anti"), answer_id)
     name = F.lower(F.trim(manual(F.col("source_file"))))
     place = F.instr(F.lower("answer"), name)

@@ -287,3 +287,18 @@ def test_citations_and_prefix(spark):
     verdicts, lists = serving.protected(row(base), row(served))
     assert {r.query: r.verdict for r in verdicts.collect()} == {1: "ok", 2: "removed", 3: "changed", 4: "repeated", 5: "overflow", 6: "repeated"}
     assert rows_of(lists.where("query in (1, 2)")) == [(1, 1, 1), (1, 2, 2), (1, 3, 9), (2, 1, 1), (2, 2, 2)]
+
+
+@pytest.mark.parametrize("name", ["source_legends", "protected_prefix"])
+def test_without_broadcast_joins(spark, sf_dir, name):
+    """As on tables too large to be broadcast."""
+    import oracle
+
+    import __spark_entry__ as driver
+
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert oracle.differences(driver.queries()[name](spark, sf_dir), oracle.connect(sf_dir), driver.oracle_sql()[name]) == []
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
