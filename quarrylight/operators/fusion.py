@@ -17,9 +17,10 @@ COLUMNS = ("query", "id", "score", "rank")
 
 
 def as_list(rows: DataFrame, query: str, row_id: str, score: Column, k: int) -> DataFrame:
-    """The k best rows of each query as a list; ties by id."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), row_id)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col(query).alias("query"), F.col(row_id).alias("id"), F.round(score, 6).alias("score"), "rank")
+    """The k best rows of each query as a list; ties by id. Only the three columns it needs are sorted."""
+    w = Window.partitionBy("query").orderBy(F.desc("by"), "id")
+    lean = rows.select(F.col(query).alias("query"), F.col(row_id).alias("id"), score.alias("by"))
+    return lean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", F.round("by", 6).alias("score"), "rank")
 
 
 def stacked(lists: dict[str, DataFrame]) -> DataFrame:

@@ -211,3 +211,11 @@ def test_pairs_in_groups_block_by_block(spark, monkeypatch):
         assert sorted(map(str, found.collect())) == want and len(want) > 100
         # no join of a group with itself
         assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_protected_prefix_ranks_its_lists_once(spark, sf_dir):
+    """What follows the two short lists reads them and not the vectors again."""
+    from quarrylight.plans import serving
+
+    plan = serving.protected_prefix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "embedding" not in plan and "Relation" in plan
