@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 #: Queries that one pass over the rows scores at once; a larger query set takes more passes.
 QUERY_BLOCK = 2048
+#: Similarities that a task holds at once.
+CELLS = 1 << 19
 #: Vectors of a group in a block of pairs, on average, and how many of them one product takes at once.
 BLOCK = 2048
 STRIPE = 256
@@ -22,8 +24,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0
     """(query_id, row_id, similarity, rank): for each query the k rows of largest cosine above the threshold (strictly).
 
     Ties go to the smaller row id. `where` filters rows; with `same`, a row must agree with its query in that column (nulls
-    agree with nothing). A task keeps the k best of each batch and query, so what is shuffled does not depend on the rows'
-    number times the queries', and the query block that goes to all tasks is bounded.
+    agree with nothing). A task keeps the k best of each query, so what is shuffled does not depend on the rows' number times the
+    queries', scores at most CELLS pairs at once, and the query block that goes to all tasks is bounded.
     """
     base = rows if where is None else rows.where(where)
     spark = rows.sparkSession
@@ -42,18 +44,17 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0
             names = q.column(query_id).to_numpy()
             unit = _unit(q.column(vector).to_pylist())
             labels = np.array(q.column(same).to_pylist(), object) if same else None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            best = np.full((len(names), 0), -2.0), np.zeros((len(names), 0), np.int64)  # of each query so far: similarity, row
+            step = max(1, CELLS // max(1, len(names)))
+            for batch in (b.slice(a, step) for b in batches for a in range(0, b.num_rows, step)):
                 ids = batch.column(row_id).to_numpy(zero_copy_only=False)
-                s = _unit(batch.column(vector).to_pylist(), unit.shape[1]) @ unit.T
+                s = unit @ _unit(batch.column(vector).to_pylist(), unit.shape[1]).T
                 if same:
                     own = np.array(batch.column(same).to_pylist(), object)
-                    s = np.where((own[:, None] == labels[None, :]) & (own[:, None] != None), s, -2)  # noqa: E711
-                order = np.lexsort((np.broadcast_to(ids[:, None], s.shape), -np.round(s, 12)), axis=0)[:k]
-                best = np.take_along_axis(s, order, 0)
-                at, of = np.nonzero(best > threshold)
-                yield pa.record_batch([pa.array(names[of]), pa.array(ids[order[at, of]]), pa.array(best[at, of])], names=[query_id, row_id, "similarity"])
+                    s = np.where((own[None, :] == labels[:, None]) & (own[None, :] != None), s, -2)  # noqa: E711
+                best = _best(*best, s, ids, k, threshold)
+            of, at = np.nonzero(best[0] > threshold)
+            yield pa.record_batch([pa.array(names[of]), pa.array(best[1][of, at]), pa.array(best[0][of, at])], names=[query_id, row_id, "similarity"])
 
         columns = [row_id, vector, *([same] if same else [])]
         found = base.where(F.col(vector).isNotNull() & F.col(row_id).isNotNull()).select(*columns).mapInArrow(run, f"{query_id} long, {row_id} long, similarity double")
@@ -62,6 +63,21 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, threshold: float = 0
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _best(s0: np.ndarray, id0: np.ndarray, s: np.ndarray, ids: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest of each line of s0 and s over the threshold, with their ids, largest first; equal to 12 places: the smaller id."""
+    least = s0[:, k - 1 : k] if s0.shape[1] >= k else np.full((len(s), 1), -np.inf)
+    of, at = np.nonzero((s > threshold) & (np.round(s, 12) >= np.round(least, 12)))
+    had_of, had_at = np.nonzero(s0 > threshold)
+    line, value, row = np.r_[had_of, of], np.r_[s0[had_of, had_at], s[of, at]], np.r_[id0[had_of, had_at], ids[at]]
+    order = np.lexsort((row, -np.round(value, 12), line))
+    line, value, row = line[order], value[order], row[order]
+    place = np.arange(len(line)) - np.searchsorted(line, line)
+    top, name = np.full((len(s), k), -2.0), np.zeros((len(s), k), np.int64)
+    keep = place < k
+    top[line[keep], place[keep]], name[line[keep], place[keep]] = value[keep], row[keep]
+    return top, name
+
+
 def _unit(vectors: list, width: int | None = None) -> np.ndarray:
     """Rows of length one; zeros for null, zero or unsound vectors and those of another width."""
     width = width or max((len(v) for v in vectors if v is not None), default=0)

@@ -219,3 +219,20 @@ def test_protected_prefix_ranks_its_lists_once(spark, sf_dir):
 
     plan = serving.protected_prefix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "embedding" not in plan and "Relation" in plan
+
+
+@pytest.mark.parametrize("same", [None, "label"])
+def test_top_k_in_steps(spark, monkeypatch, same):
+    """Steps and query blocks change nothing; a task gives k rows a query, not k of each step; ties by id across steps."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "ab"[i % 2], [float(x) for x in rng.normal(size=3)]) for i in range(200)] + [(300 - i, "a", [1.0, 2.0, 2.0]) for i in range(20)]
+    v = spark.createDataFrame(rows + [(400, "a", None), (401, None, [1.0, 2.0, 2.0]), (402, "a", [0.0] * 3)], "vec_id long, label string, embedding array<float>").coalesce(1)
+    q = v.where("vec_id % 50 = 0 and embedding is not null").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    want = sorted(map(str, vector.top_k(v, q, 4, 0.1, same=same).collect()))
+    monkeypatch.setattr(vector, "CELLS", 40)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 3)
+    assert sorted(map(str, vector.top_k(v, q, 4, 0.1, same=same).collect())) == want
+    s = np.round(np.array([r[2] for r in rows]) @ np.array([1, 2, 2]) / 3 / np.linalg.norm([r[2] for r in rows], axis=1), 6)
+    mine = [(-x, r[0]) for x, r in zip(s, rows, strict=True) if not same or r[1] == "a"] + ([] if same else [(-1.0, 401)])
+    got = [r["vec_id"] for r in vector.top_k(v, q, 4, 0.1, same=same).where("query_id = 300").orderBy("rank").collect()]
+    assert got == [i for _, i in sorted(mine)[:4]]
