@@ -236,3 +236,15 @@ def test_top_k_in_steps(spark, monkeypatch, same):
     mine = [(-x, r[0]) for x, r in zip(s, rows, strict=True) if not same or r[1] == "a"] + ([] if same else [(-1.0, 401)])
     got = [r["vec_id"] for r in vector.top_k(v, q, 4, 0.1, same=same).where("query_id = 300").orderBy("rank").collect()]
     assert got == [i for _, i in sorted(mine)[:4]]
+
+
+def test_notes_are_filed_by_beginning(spark, monkeypatch):
+    """The same pairs at every LEVEL; a log row is spelled out for the notes that begin as it does, not for all of its person."""
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("ab"), int(n))) for n in rng.integers(0, 12, 120)]
+    notes, log = [(i, "pq"[i % 2], w) for i, w in enumerate(words[:60])], [(i, "pq"[i % 2], w, i * 7 % 11) for i, w in enumerate(words[60:])]
+    want = {(i, max((at, j) for j, o, t, at in log if o == p and t.startswith(w[:9]))[1]) for i, p, w in notes if any(o == p and t.startswith(w[:9]) for _, o, t, _ in log)}
+    n, l = spark.createDataFrame(notes, "note int, who string, text string"), spark.createDataFrame(log, "log int, who string, said string, at int")
+    for level in (1, 3, 40):
+        monkeypatch.setattr(identity, "LEVEL", level)
+        assert {tuple(r) for r in identity.matched_by_prefix(n, l, "who", "text", "said", "at", "log", "note", 9).collect()} == want and len(want) > 20
