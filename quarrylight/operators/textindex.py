@@ -29,6 +29,8 @@ from quarrylight.sources.store import Store
 
 BUCKETS = 64
 SLICES = 8
+#: Words that a task turns into rows at once; their places, order and terms take some fifty bytes each.
+WORDS = 1 << 18
 #: Bucket of the documents' own rows.
 LENGTHS = -1
 #: A place is its field's number times this and the position in the field.
@@ -40,7 +42,7 @@ def _postings(n_fields: int, shortest: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = pa.array(words.STOP_WORDS)
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
             terms, docs, places = [], [], []
             lengths = np.zeros((batch.num_rows, n_fields), np.int64)
             for f in range(n_fields):
@@ -68,6 +70,16 @@ def _postings(n_fields: int, shortest: int):
     return run
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of the batch with about WORDS words, or one document with more."""
+    if not batch.num_rows:
+        return
+    size = sum(pc.list_value_length(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+    cut = np.flatnonzero(np.diff((np.cumsum(size) - size) // WORDS)) + 1
+    for a, b in zip(np.r_[0, cut].tolist(), np.r_[cut, batch.num_rows].tolist(), strict=True):
+        yield batch.slice(a, b - a)
+
+
 def _rows(terms: pa.Array, ids: pa.Array, doc: np.ndarray, counts: np.ndarray, first: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     n = counts.shape[1]
     return pa.record_batch(

@@ -302,3 +302,20 @@ def test_without_broadcast_joins(spark, sf_dir, name):
         assert oracle.differences(driver.queries()[name](spark, sf_dir), oracle.connect(sf_dir), driver.oracle_sql()[name]) == []
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+
+
+def test_postings_in_pieces(monkeypatch):
+    """Rows of a batch are made for a bounded number of words at once, and are the same however it is cut."""
+    import pyarrow as pa
+
+    from quarrylight.operators import textindex
+
+    rng = np.random.default_rng(9)
+    texts = [[f"word{x}" for x in rng.integers(0, 9, int(n))] for n in (0, 3, 40, 1, 0, 25, 7)]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(texts, pa.list_(pa.string())), pa.array([t[:2] for t in texts], pa.list_(pa.string()))], names=["doc_id", "f0", "f1"])
+    made = lambda: [b.to_pylist() for b in textindex._postings(2, 3)(iter([batch.slice(1), batch.slice(0, 0)]))]
+    whole = sorted(str(r) for b in made() for r in b)
+    for words in (1, 10, 30):
+        monkeypatch.setattr(textindex, "WORDS", words)
+        pieces = made()
+        assert sorted(str(r) for b in pieces for r in b) == whole and len(pieces) > 4
