@@ -83,7 +83,7 @@ def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    model = toxicity.train(toxicity.sample(docs, labels.where(~held)))
+    model = toxicity.fit(docs, labels.where(~held))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
 
 

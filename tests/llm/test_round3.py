@@ -199,6 +199,23 @@ def test_op12_sample_is_bounded(spark):
     assert got.toxic.value_counts().to_dict() == {0: 200, 1: 200} and got.text.is_unique
 
 
+def test_op12_learns_from_every_label(spark, monkeypatch):
+    """A word of few toxic rows among 6,000, in texts over TRAIN_BYTES, is known: a sample of 4,000 short texts has none of it."""
+    n = 6000
+    rare, toxic = F.col("doc_id") % 100 == 7, F.col("doc_id") % 3 == 1
+    docs = spark.range(n).select(F.col("id").alias("doc_id")).withColumn("lang", F.lit("xx"))
+    text = F.concat(F.lit("xxkera xxlomino "), F.when(rare, F.repeat(F.lit("xxkera xxlomino "), 1400)).otherwise(""), F.when(rare, "qworblex").when(toxic, "grumkera").otherwise("xxtises"))
+    docs = docs.withColumn("text", text)
+    labels = docs.select("doc_id", (rare | toxic).cast("int").alias("toxic"))
+    monkeypatch.setattr(toxicity, "REPLICA_ROWS", 1500)  # four replicas
+    model = toxicity.fit(docs.repartition(3), labels)
+    asked = pa.array(["xxkera qworblex", "xxkera grumkera", "xxkera xxtises", "xxlomino xxkera"])
+    assert (model.scores(asked) >= 0.5).tolist() == [True, True, False, False]
+    again = toxicity.fit(docs.repartition(7), labels)  # however the rows lie
+    assert np.array_equal(again.table, model.table) and np.array_equal(again.thresholds, model.thresholds)
+    assert toxicity.fit(docs, labels.where("toxic = 1")).flat == 1.0 and toxicity.fit(docs.limit(0), labels).flat == 0.0
+
+
 def test_op12_held_out(spark):
     sf = "/root/testdata/sf0.1"
     found = q.op12_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
