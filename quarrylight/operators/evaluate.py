@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.session import written
+
 
 def retrieval_metrics(hits: DataFrame, gold: DataFrame, k: int, query: str = "query", row_id: str = "id") -> DataFrame:
     """(query, n_gold, hit, recall, rr) at k for every query of gold; a query that finds nothing has zeros. hits: query, id,
     rank; gold: query, id."""
-    g = gold.select(query, row_id).distinct()
+    g = written(gold.select(query, row_id).distinct(), "gold")  # read twice, and often dear to find
     sizes = g.groupBy(query).agg(F.count("*").alias("n_gold"))
     got = hits.where(F.col("rank") <= k).join(g, [query, row_id]).groupBy(query).agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     j = sizes.join(got, query, "left")

@@ -278,3 +278,30 @@ def test_weighted_match_leaves_few_rows_in_a_task(spark, monkeypatch):
     terms = docs.select("doc_id", F.col("a").alias("term"), F.transform("a", lambda _: F.lit(1.0)).alias("weight"))
     q = queries.select("item_id", F.explode(F.array_distinct("words")).alias("term"))
     assert lexical.best_matches(terms, q, "doc_id", "item_id", 4, False).count() <= 3 * 3 * 4 * 11
+
+
+def test_texts_are_taken_apart_once(spark):
+    """No filter makes the tokens or shingles again, and gold is found once."""
+    from quarrylight.operators import lexical
+
+    def filtered(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return [line for line in plan.splitlines() if "Filter" in line and "split(" in line]
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (3, "b c d e f g")], "doc_id long, text string")
+    asked = docs.withColumnRenamed("doc_id", "item_id").where("item_id = 1")
+    items, own = T.shingle_hashes(T.words(F.col("text")), 5), F.array(F.lit(0).cast("long"))
+    got = lexical.overlap(docs, asked.withColumn("own", items), items, F.col("own"))
+    assert sorted((r.doc_id, r.n_common) for r in got.collect()) == [(1, 2), (3, 1)]
+    assert len(filtered(lexical.overlap(docs, asked.select("item_id", own.alias("own")), items, F.col("own")))) == 0
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    gold = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "query long, id long").mapInArrow(once, "query long, id long")
+    hits = spark.createDataFrame([(1, 6, 2), (2, 8, 1)], "query long, id long, rank int")
+    assert [tuple(r) for r in evaluate.retrieval_metrics(hits, gold, 10).orderBy("query").collect()] == [(1, 2, 1, 0.5, 0.5), (2, 1, 0, 0.0, 0.0)]
+    assert seen.value == 3
