@@ -6,7 +6,7 @@ ranks, until no pair has a rank. The map stands in the plan as a scalar subquery
 query and hands to the tasks as a literal value: written out in the plan, its 50 000 entries would be in every description of
 the plan that the driver makes. The COMMON commonest words of the corpus are folded once and their ids sent to all tasks (a
 bounded table, which changes no result); every other word is folded once for each run of documents with CHUNK_BYTES of text,
-where it stands, so that nothing is shuffled. Decoding concatenates the binary pieces of the ids.
+where it stands, so that nothing is shuffled; the words' codes are written before that. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ from quarrylight.llm.common import discard, fresh, written
 #: Words whose ids are kept in a table that every task holds.
 COMMON = 300_000
 #: Text of the documents that share a list of distinct words; a longer document has a list of its own.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
+#: Text that is split at once, or one document; what a step holds is about 40 bytes for each.
+SPLIT_BYTES = 1 << 19
+#: Lists of documents in a row group of the written codes.
+GROUP_ROWS = 2
 #: Words that are put together at once.
-STEP_WORDS = 400_000
+STEP_WORDS = 100_000
 #: Longer words (bytes) are merged with a heap: the fold's work grows with the square of a word's length.
 LONG_WORD = 2_000
 BUCKETS = 16_384
@@ -116,10 +120,11 @@ def _texts(piece: pa.RecordBatch) -> list[str]:
 
 
 def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The literal: maps of hexadecimal pieces to ranks, in BUCKETS by the checksum of the piece."""
+    """The literal: maps of hexadecimal pieces to ranks, in BUCKETS by the checksum of the name."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for piece, rank in ranks.items():
-        buckets[zlib.crc32(piece) % BUCKETS][piece.hex().upper()] = rank
+        name = piece.hex().upper()
+        buckets[zlib.crc32(name.encode()) % BUCKETS][name] = rank
     one_row = spark.createDataFrame([(json.dumps(buckets),)], "ranks string")
     return one_row.select(F.from_json("ranks", "array<map<string,int>>").alias("ranks")).scalar()
 
@@ -139,7 +144,7 @@ def bpe_ids(words: Column, literal: Column) -> Column:
 
     def fold(table: Column, word: Column) -> Column:
         def rank(x: Column) -> Column:
-            return F.coalesce(F.element_at(F.element_at(table, (F.crc32(x) % BUCKETS + 1).cast("int")), F.hex(x)), F.lit(_NONE))
+            return F.coalesce(F.element_at(F.element_at(table, (F.crc32(x.cast("binary")) % BUCKETS + 1).cast("int")), x), F.lit(_NONE))
 
         def merge(s: Column, i: Column) -> Column:
             p, r = s["p"], s["r"]
@@ -166,9 +171,9 @@ def bpe_ids(words: Column, literal: Column) -> Column:
             pairs = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, j: rank(F.concat(F.element_at(p, (j + 1).cast("int")), x)))
             return F.struct(p.alias("p"), pairs.alias("r"))
 
-        data = word.cast("binary")
+        data = F.hex(word.cast("binary"))  # pieces are named by their hexadecimal digits, as in the map
         size = F.octet_length(word)
-        one = F.transform(F.sequence(F.lit(1), size), lambda j: F.substring(data, j, F.lit(1)))
+        one = F.transform(F.sequence(F.lit(1), size), lambda j: F.substring(data, j * 2 - 1, F.lit(2)))
         whole = rank(data)
         folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), let(one, begin), step)
         return F.when(whole < _NONE, F.array(whole)).otherwise(F.transform(folded["p"], rank))
@@ -215,7 +220,7 @@ def common_words(texts: DataFrame, limit: int = COMMON) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in batches:
-            for piece in textkit.chunks(batch):
+            for piece in textkit.chunks(batch, size=SPLIT_BYTES):
                 seen.update(split_words(_texts(piece))[0])
                 if len(seen) > 1_000_000:
                     seen = Counter({w: c for w, c in seen.items() if c > 1})
@@ -257,7 +262,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
             return pa.record_batch([pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32())), pa.array([b"".join(codes)], pa.binary()), pa.array([list(own)], pa.list_(pa.string()))], names=["doc_ids", "n_words", "codes", "rare"])
 
         for batch in batches:
-            for piece in textkit.chunks(batch):
+            for piece in textkit.chunks(batch, size=SPLIT_BYTES):
                 words, first = split_words(_texts(piece))
                 code = np.fromiter(map(find, words, repeat(-1)), np.int32, len(words))
                 for i in np.flatnonzero(code < 0).tolist():
@@ -306,7 +311,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
                         columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
 
-    coded = plain.mapInArrow(look_up, "doc_ids array<long>, n_words array<int>, codes binary, rare array<string>")
+    # written, so that no task runs two Python workers, one with the common words and one with their ids; a few lists to a row
+    # group, as Spark reads a group's rows at once
+    coded = written(plain.mapInArrow(look_up, "doc_ids array<long>, n_words array<int>, codes binary, rare array<string>"), "codes", **{"parquet.block.row.count.limit": GROUP_ROWS})
     return with_ids(coded, "rare", "rare_ids", literal).mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 

@@ -45,11 +45,11 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage, and a lost executor loses none of it."""
+def written(df: DataFrame, label: str, **options) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts the lineage, and a lost executor loses none of it. options: the writer's."""
     spark = df.sparkSession
     path = new_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

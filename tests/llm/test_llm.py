@@ -368,6 +368,17 @@ def test_op9_as_the_library(spark, sf_dir, docs):
         assert got.decoded_sha256.tolist() == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
 
 
+def test_op9_one_python_worker_to_a_task_and_short_lists(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CHUNK_BYTES", 40)
+    texts = [f"the word{i} and only{i}é" for i in range(25)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = byte_bpe.encode_decode(docs, q.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # each would have a worker of its own, with its own tables
+    rows = by_id(got)
+    assert rows.decoded_sha256.tolist() == [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
+
+
 @pytest.mark.parametrize("given", [False, True])
 def test_op10_marginals(spark, given):
     rng = np.random.default_rng(2)
