@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -160,6 +161,34 @@ def test_long_chains_and_circles(spark):
     assert sorted((r["source"], r["ancestor"]) for r in deep if r["source"] == 100) == [(100, 101), (100, 102)]
 
 
+def test_families_write_a_link_a_few_times(spark, monkeypatch):
+    write, sizes = identity.written, []
+
+    def counted(df, label):
+        out = write(df, label)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(identity, "written", counted)
+    links = [(i, i - 1) for i in range(2, 500)] + [(i, i // 3) for i in range(1000, 3000)]
+    fam = {r["node"]: r["family"] for r in identity.families(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert fam == {x: 1 for x in [*range(1, 500), *range(1000, 1500)]} | {x: x for x in range(500, 1000)} | {x: x // 3 for x in range(1500, 3000)}
+    assert sum(sizes) <= 8 * len(links)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_families_with_forks_circles_and_loops(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(90), rng.randrange(90)) for _ in range(55)] + [(200 + i, 300) for i in range(5)] + [(7, None), (None, 8), (400, 400)]
+    want = {x: x for a, b in links if None not in (a, b) for x in (a, b)}
+    for _ in want:
+        for a, b in links:
+            if None not in (a, b):
+                want[a] = want[b] = min(want[a], want[b])
+    got = identity.families(spark.createDataFrame(links, "u long, v long")).collect()
+    assert sorted((r["node"], r["family"]) for r in got) == sorted(want.items())
+
+
 def test_null_groups_stay_open(spark):
     t = spark.createDataFrame([(1, None, "es"), (2, None, "en"), (3, "a", None), (4, "a", "en")], "id int, g string, lang string")
     assert sorted(r["id"] for r in fusion.filter_open(t, F.col("lang") == "es", "g").collect()) == [1, 3, 4]
