@@ -33,15 +33,29 @@ def crc(shingle: Column) -> Column:
 
 def md5_number(shingle: Column) -> Column:
     """The first 32 bits of the md5, which other engines have too."""
-    return F.conv(F.substring(F.md5(shingle), 1, 8), 16, 10).cast("long")
+    return _number(_digits(shingle))
+
+
+def _digits(shingle: Column) -> Column:
+    return F.substring(F.md5(shingle), 1, 8)
+
+
+def _number(digits: Column) -> Column:
+    return F.conv(digits, 16, 10).cast("long")
 
 
 def sketch(text: Column, size: int = SKETCH, words: int = SHINGLE_WORDS, hashed: Callable[[Column], Column] = crc) -> Column:
     """The `size` least different hashes of the shingles of the folded text, ascending. Fewer words than a shingle: empty."""
 
     def least(w: Column) -> Column:
-        starts = F.when(F.size(w) >= words, F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.slice(F.array_sort(F.array_distinct(F.transform(starts, lambda i: hashed(F.array_join(F.slice(w, i, F.lit(words)), " "))))), 1, size)
+        def shingle(word: Column, i: Column) -> Column:
+            return F.concat(word, *[c for j in range(1, words) for c in (F.lit(" "), F.get(w, i + j))])
+
+        starts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(0)))
+        # digits of one length are in the order of their numbers: only those that stay are made numbers
+        each, kept = (_digits, _number) if hashed is md5_number else (hashed, None)
+        found = F.slice(F.sort_array(F.array_distinct(F.transform(starts, lambda x, i: each(shingle(x, i))))), 1, size)
+        return found if kept is None else F.transform(found, kept)
 
     return T.let(T.words(T.fold(text)), least)
 
@@ -56,17 +70,17 @@ def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, size: int = SKETCH, words: int = SHINGLE_WORDS, hashed: Callable[[Column], Column] = crc) -> DataFrame:
     """(doc_id, family, n_shingles): for every row its family's least id, and how many hashes its sketch holds. Texts without a
     shingle, nulls too, are families of their own, but for rows that repeat an id, which are one; null ids are left out."""
-    rows = written(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), sketch(F.col(text).cast("string"), size, words, hashed).alias("s")), "sketches")
-    same = F.when(F.size("s") > 0, F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256))
-    rows = rows.withColumn("same", same)
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), sketch(F.col(text).cast("string"), size, words, hashed).alias("s"))
+    rows = written(rows.withColumn("same", F.when(F.size("s") > 0, F.sha2(F.col("s").cast("string"), 256))), "sketches")
     whole = written(rows.where("same is not null").groupBy("same").agg(F.min("id").alias("rep"), F.first("s").alias("s")), "sketch-classes")
     reps = whole.select("same", "s", F.size("s").alias("n"), F.monotonically_increasing_id().alias("k"))
     reps = written(reps, "sketch-rows")  # `k` names a sketch; written, so that it stays the same
 
     each = reps.select("k", "n", F.explode("s").alias("h"))
-    rarity = each.groupBy("h").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("k").orderBy("df", "h"))  # the hashes of one sketch
-    keys = each.join(rarity, "h").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).where("df > 1")
+    rarity = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    of_one = Window.partitionBy("k")  # the hashes of one sketch; those that no other has come first and are not dealt
+    place = F.col("n") - F.count("*").over(of_one) + F.row_number().over(of_one.orderBy("df", "h"))
+    keys = each.join(rarity, "h").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
     keys = written(keys.select("h", "k", "n"), "sketch-keys")
     near = lambda a, b: F.least(a, b) >= least * F.greatest(a, b) - 1e-9
     sketches = reps.select("k", "s")

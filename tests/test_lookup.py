@@ -1,7 +1,9 @@
 """Mentions, the text index and what else round 3 adds, against plain versions."""
 
+import hashlib
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quarrylight.operators import mentions
+from quarrylight.operators import copies, mentions
 
 
 def by_regex(models, text):
@@ -188,6 +190,21 @@ def test_section_paths_are_those_of_one_stack(spark, runs):
 # near copies
 
 
+@pytest.mark.parametrize("hashed", [copies.md5_number, copies.crc])
+def test_sketch_is_sorted_by_spark(spark, hashed):
+    texts = ["one two three four", "", None, "É  a b\tc d", " ".join(f"w{i % 40}" for i in range(90)), "a b c d e " * 4]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for size in (3, 256):
+        column = copies.sketch(F.col("t"), size, 5, hashed)
+        got = {r.i: r.s for r in rows.select("i", column.alias("s")).collect()}
+        for i, t in enumerate(texts):
+            w = (t or "").lower().replace("é", "e").split()
+            each = [" ".join(w[j : j + 5]).encode() for j in range(len(w) - 4)]
+            assert got[i] == sorted({int(hashlib.md5(x).hexdigest()[:8], 16) if hashed is copies.md5_number else zlib.crc32(x) for x in each})[:size]
+        plan = rows.select(column.alias("s"))._jdf.queryExecution().analyzed().toString()
+        assert "sort_array" in plan and "array_sort" not in plan  # array_sort compares by an expression
+
+
 def test_near_copies_against_all_pairs(spark):
     from quarrylight.operators import copies
 
