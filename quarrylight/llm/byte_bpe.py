@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 Words are split off by the tokenizer's pattern (vectorised over code points). The merges are a fold of Spark's higher-order
-functions over the byte pieces of distinct words: each step joins the leftmost pair of least rank, found in a literal map of
-ranks, until no pair has a rank. The map stands in the plan as a scalar subquery over one row, which Spark evaluates once a
-query and hands to the tasks as a literal value: written out in the plan, its 50 000 entries would be in every description of
-the plan that the driver makes. The COMMON commonest words of the corpus are folded once and their ids sent to all tasks (a
+functions over the byte pieces of distinct words: each step joins the leftmost pair of least rank, found in a literal table of
+pairs of ids, until no pair has a rank. The table stands in the plan as a scalar subquery over one row, which Spark evaluates
+once a query and hands to the tasks as a literal value: written out in the plan, its entries would be in every description of
+the plan that the driver makes. Words that have a rank themselves need no fold. The COMMON commonest words of the corpus are folded once and their ids sent to all tasks (a
 bounded table, which changes no result); every other word is folded once for each run of documents with CHUNK_BYTES of text,
 where it stands, so that nothing is shuffled; the words' codes are written before that. Decoding concatenates the binary pieces of the ids.
 """
@@ -41,10 +41,12 @@ GROUP_ROWS = 2
 STEP_WORDS = 100_000
 #: Longer words (bytes) are merged with a heap: the fold's work grows with the square of a word's length.
 LONG_WORD = 2_000
-BUCKETS = 16_384
+BUCKETS = 65_536
 #: Lists that the common words are dealt to for the fold, by hash: about 600 words in each.
 FOLD_LISTS = 512
 _NONE = 2**31 - 1
+_KEY_BITS = 24
+_KEY = 1 << _KEY_BITS  # ids are below it
 #: Unicode white space. Fixed values.
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
@@ -119,66 +121,77 @@ def _texts(piece: pa.RecordBatch) -> list[str]:
     return [t or "" for t in piece.column("text").to_pylist()]
 
 
-def rank_map(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
-    """The literal: maps of hexadecimal pieces to ranks, in BUCKETS by the checksum of the name."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for piece, rank in ranks.items():
-        name = piece.hex().upper()
-        buckets[zlib.crc32(name.encode()) % BUCKETS][name] = rank
-    one_row = spark.createDataFrame([(json.dumps(buckets),)], "ranks string")
-    return one_row.select(F.from_json("ranks", "array<map<string,int>>").alias("ranks")).scalar()
+def pair_table(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The literal: `pairs`, maps from the key of two ids to the id of what they join to, in BUCKETS; `first`, the entry of each two
+    bytes at 256 x + y; `last`, that of a byte with nothing after it. An entry of the fold is _KEY times the rank of the pair that
+    begins with a piece, plus the piece's id."""
+    found = [(a, b, rank) for piece, rank in ranks.items() for i in range(1, len(piece)) if (a := ranks.get(piece[:i])) is not None and (b := ranks.get(piece[i:])) is not None]
+    a, b, rank = np.array(found, np.int64).reshape(-1, 3).T
+    bucket = _bucket(a, b)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).astype(np.int32)
+    maps = pa.MapArray.from_arrays(pa.array(ends), pa.array((a * _KEY + b)[order]), pa.array(rank[order].astype(np.int32)))
+    byte = [ranks[bytes([i])] for i in range(256)]
+    first = [ranks.get(bytes([x, y]), _NONE) * _KEY + byte[x] for x in range(256) for y in range(256)]
+    rows = {"pairs": pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), maps), "first": pa.array([first], pa.list_(pa.int64())), "last": pa.array([[_NONE * _KEY + x for x in byte]], pa.list_(pa.int64()))}
+    return spark.createDataFrame(pa.table(rows)).select(F.struct("pairs", "first", "last").alias("ranks")).scalar()
+
+
+def _bucket(a, b):
+    return (a * 31 + b) % BUCKETS
+
+
+def bytes_of(word: Column) -> Column:
+    """The bytes of a string's UTF-8 form, as an array of int."""
+    return F.transform(F.split(F.decode(word.cast("binary"), "ISO-8859-1"), ""), F.ascii)
 
 
 def with_ids(df: DataFrame, words: str, name: str, literal: Column) -> DataFrame:
-    """df with the column `name`: bpe_ids of the words. Spark wants a subquery in a column of its own, so a row holds the map
+    """df with the column `name`: bpe_ids of the words. Spark wants a subquery in a column of its own, so a row holds the table
     (some MB) until it is folded: rows should be few, with many words each."""
     held = fresh("ranks", df)
     return df.withColumn(held, literal).withColumn(name, bpe_ids(F.col(words), F.col(held))).drop(held)
 
 
 def bpe_ids(words: Column, literal: Column) -> Column:
-    """The fold: ids of each word of an array of strings, as an array of arrays of int; null for words over LONG_WORD bytes."""
+    """The fold: ids of each word of an array, its bytes an array of int, as an array of arrays of int; null for words over
+    LONG_WORD bytes. Its state holds an entry for each piece and the least entry, in which the least rank is."""
+    end = F.lit(_NONE * _KEY)
 
     def let(value: Column, body) -> Column:
         return F.element_at(F.transform(F.array(value), body), 1)
 
+    def piece(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(_KEY - 1))
+
     def fold(table: Column, word: Column) -> Column:
-        def rank(x: Column) -> Column:
-            return F.coalesce(F.element_at(F.element_at(table, (F.crc32(x.cast("binary")) % BUCKETS + 1).cast("int")), x), F.lit(_NONE))
-
-        def merge(s: Column, i: Column) -> Column:
-            p, r = s["p"], s["r"]
-            new = F.concat(F.element_at(p, i), F.element_at(p, i + 1))
-            none = F.slice(r, 1, 0)
-            return let(
-                new,
-                lambda x: F.struct(
-                    F.concat(F.slice(p, F.lit(1), i - 1), F.array(x), F.slice(p, i + 2, F.size(p))).alias("p"),
-                    F.concat(
-                        F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))),
-                        F.when(i > 1, F.array(rank(F.concat(F.element_at(p, i - 1), x)))).otherwise(none),
-                        F.when(i < F.size(r), F.array(rank(F.concat(x, F.element_at(p, i + 2))))).otherwise(none),
-                        F.slice(r, i + 2, F.size(r)),
-                    ).alias("r"),
-                ),
-            )
+        def rank(a: Column, b: Column) -> Column:
+            return F.element_at(F.get(table["pairs"], _bucket(a, b).cast("int")), a * F.lit(_KEY) + b).cast("long")
 
-        def step(s: Column, _: Column) -> Column:
-            low = F.array_min(s["r"])
-            return F.when(F.coalesce(low, F.lit(_NONE)) == _NONE, s).otherwise(let(F.array_position(s["r"], low).cast("int"), lambda i: merge(s, i)))
+        def state(entries: Column) -> Column:
+            return let(entries, lambda e: F.struct(e.alias("e"), F.array_min(e).alias("low")))
 
-        def begin(p: Column) -> Column:
-            pairs = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, j: rank(F.concat(F.element_at(p, (j + 1).cast("int")), x)))
-            return F.struct(p.alias("p"), pairs.alias("r"))
+        def merge(e: Column, low: Column, i: Column) -> Column:
+            """The pair at i - 1 becomes one piece; the entries of it and of the piece before it have other ranks then."""
+            new = F.shiftrightunsigned(low, _KEY_BITS)
 
-        data = F.hex(word.cast("binary"))  # pieces are named by their hexadecimal digits, as in the map
-        size = F.octet_length(word)
-        one = F.transform(F.sequence(F.lit(1), size), lambda j: F.substring(data, j * 2 - 1, F.lit(2)))
-        whole = rank(data)
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), let(one, begin), step)
-        return F.when(whole < _NONE, F.array(whole)).otherwise(F.transform(folded["p"], rank))
+            def put(x: Column, j: Column) -> Column:
+                return (
+                    F.when((j < i - 2) | (j > i), x)
+                    .when(j == i - 2, let(piece(x), lambda a: F.coalesce(rank(a, new) * F.lit(_KEY), end) + a))
+                    .when(j == i - 1, F.coalesce(let(piece(F.get(e, i + 1)), lambda b: rank(new, b) * F.lit(_KEY)), end) + new)
+                )
 
-    return let(literal, lambda table: F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG_WORD, fold(table, w))))
+            return F.filter(F.transform(e, put), lambda x: x.isNotNull())
+
+        def step(s: Column, _: Column) -> Column:
+            at = F.array_position(s["e"], s["low"]).cast("int")
+            return F.when(s["low"] >= end, s).otherwise(state(let(at, lambda i: merge(s["e"], s["low"], i))))
+
+        begin = F.transform(word, lambda x, j: F.coalesce(F.get(table["first"], x * 256 + F.get(word, j + 1)), F.get(table["last"], x)))
+        return F.transform(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1))), state(begin), step)["e"], lambda x: piece(x).cast("int"))
+
+    return let(literal, lambda table: F.transform(words, lambda w: F.when(F.size(w) <= LONG_WORD, fold(table, w))))
 
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -240,18 +253,21 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
     """
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)
-    literal = rank_map(spark, ranks)
+    literal = pair_table(spark, ranks)
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = written(common_words(plain.select("text"), common), "words")
     lists = found.select("word", F.pmod(F.xxhash64("word"), F.lit(FOLD_LISTS)).alias("list")).repartition(spark.sparkContext.defaultParallelism, "list")
-    table = with_ids(lists.groupBy("list").agg(F.collect_list("word").alias("words")), "words", "ids", literal).select("words", "ids").toArrow()
+    lists = lists.groupBy("list").agg(F.collect_list("word").alias("words")).withColumn("bytes", F.transform("words", bytes_of))
+    table = with_ids(lists, "bytes", "ids", literal).select("words", "ids").toArrow()
     discard(found)
     names, ids = (table.column(c).combine_chunks().flatten() for c in ("words", "ids"))
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    known = spark.sparkContext.broadcast({w: i for i, w in enumerate(names.to_pylist())})
-    sent = spark.sparkContext.broadcast((_flat(ids), (np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(p) for p in pieces])])))
+    places, table_ids = _known_words(names, ids, ranks)
+    known = spark.sparkContext.broadcast(places)
+    del places
+    sent = spark.sparkContext.broadcast((table_ids, (np.frombuffer(b"".join(pieces), np.uint8), np.r_[0, np.cumsum([len(p) for p in pieces])])))
     long_ranks = spark.sparkContext.broadcast(ranks)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +275,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
         doc_ids, n_words, codes, own, held = [], [], [], {}, 0
 
         def chunk() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32())), pa.array([b"".join(codes)], pa.binary()), pa.array([list(own)], pa.list_(pa.string()))], names=["doc_ids", "n_words", "codes", "rare"])
+            return pa.record_batch([pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_words], pa.list_(pa.int32())), pa.array([b"".join(codes)], pa.binary()), _byte_lists(list(own))], names=["doc_ids", "n_words", "codes", "rare"])
 
         for batch in batches:
             for piece in textkit.chunks(batch, size=SPLIT_BYTES):
@@ -313,10 +329,32 @@ def encode_decode(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text
 
     # written, so that no task runs two Python workers, one with the common words and one with their ids; a few lists to a row
     # group, as Spark reads a group's rows at once
-    coded = written(plain.mapInArrow(look_up, "doc_ids array<long>, n_words array<int>, codes binary, rare array<string>"), "codes", **{"parquet.block.row.count.limit": GROUP_ROWS})
+    coded = written(plain.mapInArrow(look_up, "doc_ids array<long>, n_words array<int>, codes binary, rare array<array<int>>"), "codes", **{"parquet.block.row.count.limit": GROUP_ROWS})
     return with_ids(coded, "rare", "rare_ids", literal).mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
+def _known_words(names: pa.Array, ids: pa.Array, ranks: dict[bytes, int]) -> tuple[dict[str, int], tuple[np.ndarray, np.ndarray]]:
+    """Where each word stands in a table of ids: the common words, and all words with a rank of their own, which are not merged."""
+    every, off = _flat(ids)
+    places = {w: i for i, w in enumerate(names.to_pylist())}
+    whole = []
+    for piece, rank in ranks.items():
+        try:
+            places[piece.decode()] = len(off) - 1 + len(whole)
+        except UnicodeDecodeError:  # part of a sign
+            continue
+        whole.append(rank)
+    return places, (np.r_[every, np.array(whole, np.int64)], np.r_[off, off[-1] + 1 + np.arange(len(whole))])
+
+
+def _byte_lists(words: list[str]) -> pa.Array:
+    """One list of the words' bytes."""
+    data = [w.encode() for w in words]
+    ends = np.r_[0, np.cumsum([len(x) for x in data])].astype(np.int32)
+    each = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(data), np.uint8).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), each)
+
+
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.r_[0, np.cumsum(size)].astype(np.int64)
@@ -334,5 +372,5 @@ def _long_words(lists: pa.Array, words: pa.Array, ranks) -> tuple[np.ndarray, np
         return _flat(lists)
     every = lists.to_pylist()
     for i in np.flatnonzero(lists.is_null().to_numpy(zero_copy_only=False)).tolist():
-        every[i] = merge_with_heap(words[i].as_py().encode(), ranks.value)
+        every[i] = merge_with_heap(bytes(words[i].as_py()), ranks.value)
     return _flat(pa.array(every, pa.list_(pa.int32())))

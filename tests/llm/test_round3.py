@@ -312,3 +312,20 @@ def test_op5_headers_and_ordinary_sentences(spark, sf_dir):
     got = license_scan.scan(rows, model).orderBy("doc_id").collect()
     assert {t: ",".join(x["family"] for x in r["licences"]) for t, r in zip(want, got, strict=True)} == want
     assert all(r["_text"] == "stays" and r["body"] == 1 for r in got)
+
+
+def test_op9_fold_over_ids_at_the_edges(spark):
+    """The fold meets ids, not names of pieces, and gives what merging by a heap gives; words with a rank are taken whole."""
+    from quarrylight.llm import byte_bpe
+
+    ranks = byte_bpe.load_ranks(q.tokenizer_file("byte_bpe_multi_50k.tiktoken"))
+    words = ["a", "é", "aaaaaaa", "abababab", " thething", "ñandúñandú", "漢字漢字", "x" * byte_bpe.LONG_WORD, "x" * (byte_bpe.LONG_WORD + 1), "\x00\x01\xff"]
+    df = spark.createDataFrame([(words,)], "words array<string>").withColumn("bytes", F.transform("words", byte_bpe.bytes_of))
+    literal = byte_bpe.pair_table(spark, ranks)
+    row = byte_bpe.with_ids(df, "bytes", "ids", literal).first()
+    assert row["bytes"] == [list(w.encode()) for w in words]
+    assert row["ids"] == [byte_bpe.merge_with_heap(w.encode(), ranks) if len(w.encode()) <= byte_bpe.LONG_WORD else None for w in words]
+    # merges by themselves never reach the last of these ranks: a word that has a rank is that rank
+    odd = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"xyz": 257}
+    places, (ids, off) = byte_bpe._known_words(pa.array(["xyz", "abc"]), pa.array([[120, 121, 122], [256, 99]]), odd)
+    assert {w: ids[off[i] : off[i + 1]].tolist() for w, i in places.items() if w in ("xyz", "abc", "ab")} == {"xyz": [257], "abc": [256, 99], "ab": [256]}
