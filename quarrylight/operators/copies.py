@@ -62,7 +62,7 @@ def sketch(text: Column, size: int = SKETCH, words: int = SHINGLE_WORDS, hashed:
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
     """Share of the union's sketch that both have; 0 if either is empty."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
+    union = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
     both = F.size(F.array_intersect(union, F.array_intersect(a, b)))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.size(union)).otherwise(0.0)
 

@@ -203,6 +203,8 @@ def test_sketch_is_sorted_by_spark(spark, hashed):
             assert got[i] == sorted({int(hashlib.md5(x).hexdigest()[:8], 16) if hashed is copies.md5_number else zlib.crc32(x) for x in each})[:size]
         plan = rows.select(column.alias("s"))._jdf.queryExecution().analyzed().toString()
         assert "sort_array" in plan and "array_sort" not in plan  # array_sort compares by an expression
+    pair = rows.select(copies.likeness(F.array(F.lit(1), F.lit(2), F.lit(4)), F.array(F.lit(2), F.lit(3), F.lit(4)), 3).alias("x"))
+    assert pair.first().x == 1 / 3 and "array_sort" not in pair._jdf.queryExecution().analyzed().toString()
 
 
 def test_near_copies_against_all_pairs(spark):
